@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sharding, token_counts
+from . import decontamination, language, lines, media, quality, sharding, token_counts
 from ._shared import scratch, table
 
 #: Default place of the public vocabulary files; every operator takes the path as a parameter.
@@ -31,10 +31,45 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "width", "height", "bit_depth")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels, _remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return quality.score(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "text")
+    return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.learn(docs, _remainder(4) != 2)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return language.predict(docs.select("doc_id", held_out, "text"), dictionaries, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op6_line_dedup": lines.oracle_sql(),
+}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lengths per block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 128
 
 _encoders: dict[int, object] = {}
 
