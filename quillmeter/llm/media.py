@@ -1,14 +1,15 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is the text as UTF-8, padded with zero bytes to a positive multiple of 64,
-stored as an 8-bit greyscale PNG of 64 samples a row (lossless). Each distinct payload
-is stored once, in the tar shard that its digest chooses, under its digest as name; rows
-carry digest, shard, offset and length. Metadata columns come from range reads of the
+stored losslessly as an 8-bit greyscale PNG: one row of samples, or rows of 64 beyond
+LONGEST_ROW. Payloads are stored in tar shards under their digest as name; rows carry
+digest, shard, offset and length. Metadata columns come from range reads of the
 PNG's header alone; features come from reading the stored bytes back.
 
-Shards are written by executors to the shared folder under a name of the writing
-partition: a task that runs again writes the same bytes again, to a temporary name that
-is then renamed. Nothing is ever gathered: a shard is streamed to its file.
+The task that reads texts writes their shard, each payload once under its digest, so no text
+or image is shuffled. Copies in several shards get one canonical place (the first by shard and
+offset); what no row refers to is for compaction. A task that runs again writes the same bytes
+again, to a temporary name that is then renamed. A shard is streamed, never gathered.
 
 Defined cases: null text is the empty text, whose payload is 64 zero bytes; equal texts
 share one object; repeated rows stay rows; an empty table gives no rows and no shard;
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize, scratch
 
 WIDTH = 64
+LONGEST_ROW = 1 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, length, type and body of the first chunk: enough for all metadata.
 HEADER_BYTES = 33
@@ -47,10 +49,11 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def to_png(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)  # filter 0 before each row
+    width = len(payload) if len(payload) <= LONGEST_ROW else WIDTH
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    filtered = np.zeros((len(rows), width + 1), np.uint8)  # filter 0 before each row
     filtered[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
@@ -93,20 +96,6 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}") if not uri.startswith("file:/") else (fs.LocalFileSystem(), uri.removeprefix("file://").removeprefix("file:"))
 
 
-def encode_rows(batches):
-    """(digest, media) of each distinct payload of a task's batch."""
-    for batch in batches:
-        seen, digests, media = set(), [], []
-        for x in batch.column(0):
-            payload = payload_of((x.as_py() or "").encode())
-            digest = hashlib.sha256(payload).digest()
-            if digest not in seen:
-                seen.add(digest)
-                digests.append(digest)
-                media.append(to_png(payload))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], ["digest", "media"])
-
-
 def _write_shards(folder: str):
     def run(batches):
         from pyspark import TaskContext
@@ -114,17 +103,19 @@ def _write_shards(folder: str):
         fs, root = _filesystem(folder)
         name = f"shard-{TaskContext.get().partitionId():06d}.tar"
         part = f"{root}/.{name}-{uuid.uuid4().hex}"
-        out, at, last = None, 0, None
+        out, at, seen = None, 0, set()
         for batch in batches:
             digests, offsets, lengths = [], [], []
-            for digest, media in zip(batch.column(0), batch.column(1), strict=True):
-                digest = digest.as_py()
-                if digest == last:  # sorted by digest: copies follow one another
+            for x in batch.column(0):
+                payload = payload_of((x.as_py() or "").encode())
+                digest = hashlib.sha256(payload).digest()
+                if digest in seen:
                     continue
+                seen.add(digest)
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(part)
-                last, body = digest, media.as_py()
+                body = to_png(payload)
                 info = tarfile.TarInfo(f"{digest.hex()}.png")
                 info.size = len(body)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
@@ -144,12 +135,10 @@ def _write_shards(folder: str):
     return run
 
 
-def store(spark: SparkSession, docs: DataFrame, folder: str, n_shards: int | None = None) -> DataFrame:
-    """Write the distinct payloads of docs as tar shards below folder; returns the index digest, shard, offset, media_bytes."""
-    n = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    media = docs.select("text").mapInArrow(encode_rows, "digest binary, media binary")
-    dealt = media.repartition(n, "digest").sortWithinPartitions("digest")
-    return materialize(spark, dealt.mapInArrow(_write_shards(folder), "digest binary, shard string, offset long, media_bytes long"), "media-index")
+def store(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Write the payloads of docs as tar shards below folder; returns the index digest, shard, offset, media_bytes."""
+    written = docs.select("text").mapInArrow(_write_shards(folder), "digest binary, shard string, offset long, media_bytes long")
+    return materialize(spark, written, "media-index")
 
 
 READ_SCHEMA = "digest binary, shard string, offset long, media_bytes long, width int, height int, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
@@ -201,13 +190,15 @@ def members(folder: str, shard: str) -> list[tuple[str, bytes]]:
         return [(m.name, t.extractfile(m).read()) for m in t.getmembers()]
 
 
-def media_columns(spark: SparkSession, docs: DataFrame, folder: str | None = None, n_shards: int | None = None) -> DataFrame:
+def media_columns(spark: SparkSession, docs: DataFrame, folder: str | None = None) -> DataFrame:
     """docs' doc_id with n_bytes and the media columns of its payload.
 
-    Copies join one small index row each; the join is an ordinary sort-merge join on the digest, whose
-    skewed side (a hot digest) adaptive execution splits."""
+    The index is read where it lies, in the order of its shards. Copies join one small index row each; the
+    join is an ordinary sort-merge join on the digest, whose skewed side (a hot digest) adaptive execution splits."""
     folder = folder or scratch(spark, "media")
-    features = read_back(store(spark, docs, folder, n_shards), folder)
+    stored = read_back(store(spark, docs, folder), folder)
+    place = F.struct("shard", "offset", *[c for c in stored.columns if c not in ("digest", "shard", "offset")])
+    features = stored.groupBy("digest").agg(F.min(place).alias("m")).select("digest", "m.*")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     padding = F.when(F.length("raw") == 0, WIDTH).otherwise(F.pmod(-F.length("raw"), F.lit(WIDTH)))
     zeros = F.expr(f"unhex(repeat('00', {WIDTH}))")
