@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lines, media, quality, sharding, token_counts
+from . import decontamination, language, lines, media, near_dedup, pieces, quality, sharding, token_counts
 from ._shared import scratch, table
 
 #: Default place of the public vocabulary files; every operator takes the path as a parameter.
@@ -35,6 +35,14 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), 85)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", ["doc_id"])
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.learn(docs, labels, _remainder(5) != 0)
@@ -60,6 +68,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
