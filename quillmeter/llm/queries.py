@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lines, media, near_dedup, pieces, quality, sharding, token_counts
+from . import decontamination, language, lines, media, near_dedup, pieces, quality, repeats, sharding, token_counts
 from ._shared import scratch, table
 
 #: Default place of the public vocabulary files; every operator takes the path as a parameter.
@@ -55,6 +55,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "text")
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
