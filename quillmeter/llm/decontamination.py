@@ -34,6 +34,8 @@ from ._shared import materialize
 WORDS = 5
 PERCENT = 80
 BLOCK_HASHES = 20_000
+#: Contaminated documents up to which their keys are broadcast (16 bytes each), counted first; beyond, a shuffled anti-join.
+BROADCAST_LEAKS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -97,6 +99,9 @@ def _search(docs: DataFrame, known: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones; all columns stay as they are."""
     leaks = contaminated(spark, docs, items).select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_leak_hash")).distinct()
+    leaks = materialize(spark, leaks, "leaks")
+    if leaks.count() <= BROADCAST_LEAKS:
+        leaks = F.broadcast(leaks)
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs["text"]) == leaks["_leak_hash"]), "left_anti")
 
 

@@ -99,3 +99,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], ma
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_scored"))
     schema = source.drop("_scored").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     return source.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows of docs whose language is not rejected, with their own columns, whatever these are called."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    plain = plain.withColumn("text", F.col(f"c{names.index('text')}"))
+    return predict(plain, dictionaries, plain.columns[:-1], margin).filter("accepted").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -195,3 +195,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = 80) ->
     out = known.select("doc_id", "n_shingles", "s0", "s1").join(named, ["s0", "s1", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, similar: int = 80) -> DataFrame:
+    """docs with one document of each group left, the one with the least doc_id; all columns stay as they are.
+    Of rows that repeat a doc_id, one stays; rows without doc_id stay."""
+    gone = materialize(spark, near_duplicates(spark, docs, similar).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    if gone.count() <= BROADCAST_CLASSES:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    return left
