@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import archive, money, tasks, usage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (usage, money, tasks, archive):
+    QUERIES |= _part.Q
+    ORACLE_SQL |= _part.SQL
