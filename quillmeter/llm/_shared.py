@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,8 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def passed(keep: list[str], outputs: tuple[str, ...]) -> list[Column]:
+    """Columns that go through an operator; one named like an output gets the ending _in."""
+    return [F.col(f"`{c}`").alias(f"{c}_in" if c in outputs else c) for c in keep]

@@ -49,12 +49,15 @@ def drop_lines(spark: SparkSession, pages: DataFrame, host: str, text: str, rati
     lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_drop"))
     if found.count() <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
-    joined = pages.join(lists, pages[host].eqNullSafe(lists["_host"]), "left")
+    names = pages.columns
+    plain = pages.toDF(*(f"c{i}" for i in range(len(names))))  # so that no name clashes
+    own, body = f"c{names.index(host)}", F.col(f"c{names.index(text)}")
+    joined = plain.join(lists, plain[own].eqNullSafe(lists["_host"]), "left")
     listed = F.coalesce("_drop", F.array().cast("array<bigint>"))
-    kept = F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains(listed, F.xxhash64(x)))
-    out = joined.withColumn("_kept", kept).withColumn("_n_lines", F.coalesce(F.size(_lines(F.col(text))), F.lit(0)))
-    out = out.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("_n_lines"))).withColumn("_n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_host", "_drop", "_kept")
+    kept = F.filter(_lines(body), lambda x: (F.trim(x) == "") | ~F.array_contains(listed, F.xxhash64(x)))
+    out = joined.withColumn("_kept", kept).withColumn("_n", F.when(body.isNull(), 0).otherwise(F.size(_lines(body))))
+    columns = [(F.array_join("_kept", "\n") if n == text else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
+    return out.select(*columns, F.col("_n").alias("_n_lines"), F.when(body.isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).alias("_n_dropped"))
 
 
 def oracle_sql(ratio_percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES) -> str:

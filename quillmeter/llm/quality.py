@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import passed
+
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
 DIM, FILTERS = 8, 32
 SAMPLE, SAMPLE_CHUNKS = 1500, 4
@@ -139,5 +141,5 @@ def score(docs: DataFrame, model: Network | float, keep: list[str]) -> DataFrame
             found = [model if isinstance(model, float) else model.score((x.as_py() or "").encode()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], ("score", pa.float64())]))
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_scored"))
+    source = docs.select(*passed(keep, ("score",)), F.col("text").alias("_scored"))
     return source.mapInArrow(run, source.drop("_scored").schema.add("score", "double"))
