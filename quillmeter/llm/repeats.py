@@ -14,7 +14,8 @@ anchors repeat:
    statistics), in both directions. A hot anchor is many pairs of blocks in many tasks.
 4. Marks go back from contexts to texts, and are merged to spans.
 
-A text is known by a 64-bit hash and its size from step 1 on; windows are decided on bytes.
+A text is known by a 64-bit hash and its size from step 1 on; windows are decided on bytes. Texts are
+shuffled twice, compressed: to their open anchors and to their spans, neither of which is of bounded size.
 
 Defined cases: null is the empty text; texts under LENGTH bytes stay whole; repeated rows are
 copies of each other and vanish whole if they have LENGTH bytes; overlapping matches of a string
@@ -27,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,6 @@ from .run_index import RunIndex
 LENGTH = 200
 #: Contexts of one anchor in a block; bytes of contexts indexed together.
 BLOCK_CONTEXTS, INDEX_BYTES = 2000, 1_500_000
-#: Marked places up to which they are broadcast to the scan of texts (16 bytes each), counted first; beyond, a shuffled join.
-BROADCAST_MARKS = 6_000_000
 
 _ANCHOR = "h long, t long, n int, c long, at int, lo int, hi int"
 
@@ -49,6 +49,21 @@ def _keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
     return docs.select(*keep, F.xxhash64(text).alias("t"), F.octet_length(text).cast("int").alias("n"), F.encode(text, "UTF-8").alias("raw"))
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """texts with raw compressed, for a shuffle of whole texts."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((pack(x.as_py()) for x in batch.column(batch.num_columns - 1)), pa.binary())], names=batch.schema.names)
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _anchor_rows(length: int):
     def run(batches):
         for batch in batches:
@@ -76,10 +91,11 @@ def _context_rows(length: int):
         for batch in batches:
             seen, rows = set(), {k: [] for k in ("h", "c", "t", "n", "lo", "size", "context")}
             for r in batch.to_pylist():
+                raw = _unpacked(r["raw"])
                 for h, c, lo, hi in zip(*(r[k] for k in ("h", "c", "lo", "hi")), strict=True):
                     new = (h, c) not in seen
                     seen.add((h, c))
-                    for k, v in (("h", h), ("c", c), ("t", r["t"]), ("n", r["n"]), ("lo", lo), ("size", hi - lo + 1), ("context", r["raw"][lo : hi + length] if new else None)):
+                    for k, v in (("h", h), ("c", c), ("t", r["t"]), ("n", r["n"]), ("lo", lo), ("size", hi - lo + 1), ("context", raw[lo : hi + length] if new else None)):
                         rows[k].append(v)
             kinds = {"h": pa.int64(), "c": pa.int64(), "t": pa.int64(), "n": pa.int32(), "lo": pa.int32(), "size": pa.int32(), "context": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in rows.items()})
@@ -96,6 +112,8 @@ def _compare(length: int):
     """h, c, lo, hi: ranges of window starts in a context whose windows are in another context of its anchor."""
 
     def both(left: list[tuple], right: list[tuple]):
+        if not left or not right:
+            return
         for own, other in ((left, right), (right, left)):
             index = RunIndex([x[2] for x in own])
             for (h, c, _), flags in zip(other, index.matched([x[2] for x in other], length), strict=True):
@@ -104,10 +122,11 @@ def _compare(length: int):
 
     def inside(rows: list[tuple]):
         index = RunIndex([x[2] for x in rows])
-        flags = index.repeated(length)
-        for (h, c, context), at in zip(rows, index.starts, strict=True):
-            for lo, hi in _ranges(flags[at : at + len(context)]):
-                yield h, c, lo, hi
+        edge = np.flatnonzero(np.diff(index.repeated(length), prepend=False, append=False))  # a separator is never repeated
+        of = np.searchsorted(index.starts, edge[::2], side="right") - 1
+        lo, hi = edge[::2] - index.starts[of], edge[1::2] - index.starts[of]
+        h, c = (np.array([x[k] for x in rows])[of] for k in (0, 1))
+        return zip(h.tolist(), c.tolist(), lo.tolist(), hi.tolist(), strict=True)
 
     def run(batches):
         key, cell, pool, size = None, ([], []), [], 0
@@ -121,7 +140,7 @@ def _compare(length: int):
             for r in batch.to_pylist():
                 k = (r["h"], r["first"], r["second"])
                 if k != key:
-                    if cell[1]:
+                    if cell[0] or cell[1]:
                         yield batch_of(both(*cell))
                     if size > INDEX_BYTES:
                         yield batch_of(inside(pool))
@@ -133,7 +152,7 @@ def _compare(length: int):
                     size += len(r["context"])
                 else:
                     cell[r["own"] == r["second"]].append(row)
-        if cell[1]:
+        if cell[0] or cell[1]:
             yield batch_of(both(*cell))
         if pool:
             yield batch_of(inside(pool))
@@ -141,22 +160,17 @@ def _compare(length: int):
     return run
 
 
-def _limited(df: DataFrame, weight: Column) -> DataFrame:
-    """df, to be broadcast if its weight allows."""
-    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_MARKS else df
-
-
 def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t, n, lo, hi: ranges of window starts, by text, whose windows start elsewhere too."""
     found = _keyed(docs).filter(F.col("n") >= length).select("t", "n", "raw").mapInArrow(_anchor_rows(length), _ANCHOR)
     groups = found.groupBy("h").agg(F.count("*").alias("of"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("of > 1").select("h", (F.col("c0") == F.col("c1")).alias("settled"))
-    rows = found.join(groups, "h")
-    packed = rows.groupBy("t", "n").agg(*[F.collect_list(F.when(F.col("settled") == settled, F.struct(*cols))).alias(name) for name, settled, cols in (("settled", True, ("lo", "hi")), ("open", False, ("h", "c", "lo", "hi")))])
-    # copies of a text bring its anchors several times
-    packed = packed.select("t", "n", F.array_distinct("settled").alias("settled"), F.array_distinct("open").alias("open"))
+    # a table of its own, so that both sides of the join are plain exchanges and a hot anchor can be split
+    rows = found.join(materialize(spark, groups, "repeated-anchors"), "h")
+    # copies of a text bring its anchors several times: sets
+    packed = rows.groupBy("t", "n").agg(*[F.collect_set(F.when(F.col("settled") == settled, F.struct(*cols))).alias(name) for name, settled, cols in (("settled", True, ("lo", "hi")), ("open", False, ("h", "c", "lo", "hi")))])
     packed = materialize(spark, packed, "anchors")
     opened = packed.filter(F.size("open") > 0).select("t", "n", F.col("open.h").alias("h"), F.col("open.c").alias("c"), F.col("open.lo").alias("lo"), F.col("open.hi").alias("hi"))
-    texts = _keyed(docs).join(_limited(opened, F.size("lo") * 2), ["t", "n"]).select("t", "n", "raw", "h", "c", "lo", "hi")
+    texts = _packed(_keyed(docs).filter(F.col("n") >= length)).join(opened, ["t", "n"]).select("t", "n", "raw", "h", "c", "lo", "hi")
     occurrences = materialize(spark, texts.mapInArrow(_context_rows(length), "h long, c long, t long, n int, lo int, size int, context binary"), "contexts")
     classes = occurrences.groupBy("h", "c").agg(F.count("*").alias("of"), F.max("context").alias("context"), F.max("size").alias("size"))
     counts = occurrences.groupBy("h").agg(F.approx_count_distinct("c").alias("classes")).filter(F.col("classes") > BLOCK_CONTEXTS).select("h", F.ceil(F.col("classes") / BLOCK_CONTEXTS).cast("int").alias("blocks"))
@@ -195,7 +209,7 @@ def _cut(batches):
     for batch in batches:
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")}
         for raw, begins, ends in zip(*(batch.column(i) for i in range(batch.num_columns - 3, batch.num_columns)), strict=True):
-            raw, begins, ends = raw.as_py(), begins.as_py() or [], ends.as_py() or []
+            raw, begins, ends = _unpacked(raw.as_py()), begins.as_py() or [], ends.as_py() or []
             kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)], strict=True))
             for k, v in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", len(begins)), ("kept", kept), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
                 out[k].append(v)
@@ -206,7 +220,10 @@ def _cut(batches):
 def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], length: int = LENGTH) -> DataFrame:
     """The columns keep of docs, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
     found = materialize(spark, spans(marks(spark, docs, length), length), "spans")
-    joined = _keyed(docs, *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]).join(_limited(found, F.size("begins") + 1), ["t", "n"], "left")
+    joined = _keyed(docs, *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    joined = _packed(joined).join(found, ["t", "n"], "left")
     source = joined.select(*[f"_keep_{i}" for i in range(len(keep))], "raw", "begins", "ends")
     schema = source.drop("raw", "begins", "ends").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("kept_sha256", "string")
-    return source.mapInArrow(_cut, schema).withColumnsRenamed({f"_keep_{i}": c for i, c in enumerate(keep)})
+    cut = source.mapInArrow(_cut, schema)
+    outputs = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    return cut.select(*[F.col(f"_keep_{i}").alias(f"{c}_in" if c in outputs else c) for i, c in enumerate(keep)], *outputs)

@@ -29,28 +29,34 @@ class RunIndex:
         for k in range(FIRST):
             key = (key << 9) | symbol[np.minimum(np.arange(n) + k, self.end_of)]
         order = np.argsort(key)
-        self.levels: list[tuple[int, np.ndarray]] = []
+        ordered = key[order]
+        new = np.ones(n, bool)
+        new[1:] = (ordered[1:] != ordered[:-1]) | (ordered[1:] == 0)  # separators differ from one another
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=n)
+        rank = np.empty(n, np.int64)  # the first row of suffixes with the same beginning
+        rank[order] = np.repeat(first, size)
         step = FIRST
-        rank = self._ranks(order, key, symbol == 0)
-        while True:
+        self.levels: list[tuple[int, np.ndarray]] = [(step, rank)]
+        open_rows = np.flatnonzero(np.repeat(size > 1, size))
+        while len(open_rows):  # only suffixes that still tie are sorted on
+            own = order[open_rows]
+            key = rank[own] * n + rank[np.minimum(own + step, self.end_of[own])]
+            by = np.argsort(key)
+            own, key = own[by], key[by]  # old ties are contiguous rows, and stay on them
+            order[open_rows] = own
+            new = np.ones(len(own), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            size = np.diff(first, append=len(own))
+            rank = rank.copy()
+            rank[own] = np.repeat(open_rows[first], size)
+            step *= 2
             self.levels.append((step, rank))
-            if int(rank.max()) == n - 1:
-                break
-            key = rank * n + rank[np.minimum(np.arange(n) + step, self.end_of)]
-            order = np.argsort(key)
-            rank, step = self._ranks(order, key, symbol == 0), step * 2
+            open_rows = open_rows[np.repeat(size > 1, size)]
         self.order, self.rank = order, rank
         self._runs()
 
-    @staticmethod
-    def _ranks(order: np.ndarray, key: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        ordered = key[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (ordered[1:] != ordered[:-1]) | alone[order[1:]]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return rank
-
     def _runs(self) -> None:
         bwt = self.symbol[self.order - 1]  # the row of position 0 wraps to the last separator
         self.n = len(bwt)
