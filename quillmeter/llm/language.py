@@ -18,11 +18,15 @@ text and lang are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import passed
+
 SAMPLE_TEXTS = 64
 DICTIONARY_BYTES = 112_000
 BLOCK = 4096
@@ -89,21 +93,23 @@ class Classifier:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], margin: float = MARGIN) -> DataFrame:
     """The columns keep of docs, with lang_pred, score and accepted. The dictionaries (DICTIONARY_BYTES a language) go along with the tasks."""
 
-    def run(batches):
+    docs = docs.select(*passed(keep, ("lang_pred", "score", "accepted")), _verdict(dictionaries, margin)(F.col("text")).alias("_verdict"))
+    return docs.select("*", "_verdict.lang_pred", "_verdict.score", "_verdict.accepted").drop("_verdict")
+
+
+def _verdict(dictionaries: dict[str, bytes], margin: float):
+    """An Arrow function of the text alone: no other column goes to the workers and back."""
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
+
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Classifier(dictionaries)
-        for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] != UNDETERMINED and x[1] >= margin for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], schema=pa.schema([*list(batch.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())]))
+        for column in texts:
+            found = [model.predict(x.as_py()) for x in column]
+            yield pa.array([{"lang_pred": lang, "score": score, "accepted": lang != UNDETERMINED and score >= margin} for lang, score in found], kind)
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_scored"))
-    schema = source.drop("_scored").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return source.mapInArrow(run, schema)
+    return F.arrow_udf(of, "lang_pred string, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The rows of docs whose language is not rejected, with their own columns, whatever these are called."""
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    plain = plain.withColumn("text", F.col(f"c{names.index('text')}"))
-    return predict(plain, dictionaries, plain.columns[:-1], margin).filter("accepted").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    return docs.filter(_verdict(dictionaries, margin)(F.col("text"))["accepted"])

@@ -30,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import passed
+
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of text whose words are sorted together; words and pairs kept by a worker between slices.
-SLICE_BYTES = 8_000_000
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 1_500_000
+SLICE_BYTES = 4_000_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 400_000
+#: State before the first piece of a word; pieces are below 2 ** PIECE_BITS.
+START, PIECE_BITS = 1 << 24, 22
 
 _models: dict[int, Model] = {}
 
@@ -69,7 +73,7 @@ class Model:
             for k in range(1, len(x)):
                 self.ends.setdefault(x[k:], None)
         self.ends |= self.ids
-        self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.plain = [x.replace(MARK, " ") for x in self.texts]
 
@@ -91,16 +95,16 @@ class Model:
     def _text(self, i: int) -> str:
         return self.texts[i] if i >= 0 else chr(-1 - i)
 
-    def _adjacent(self, before: int | None, piece: int) -> bool:
-        """Whether piece stays itself behind before (None: at the start)."""
-        if before is None:
+    def _adjacent(self, before: int, piece: int) -> bool:
+        """Whether piece stays itself behind before."""
+        if before == START:
             return self.merged(self._text(piece)) == [piece]
         return self.merged(self._text(before) + self._text(piece)) == [before, piece]
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each of the sorted distinct words, by a depth-first walk of their trie."""
         ends, pairs, scores, out = self.ends, self.pairs, self.scores, []
-        state: list[int | None] = [None]  # by depth: the piece that ends there,
+        state: list[int] = [START]  # by depth: the piece that ends there,
         start: list[int] = [0]  # where that piece starts,
         total: list[float] = [0.0]  # and (unigram) the best sum of scores
         last = ""
@@ -124,10 +128,10 @@ class Model:
                     chosen, of = -1 - ord(word[begin]), begin
                     while begin >= 0 and (piece is None or piece >= 0):
                         if piece is not None:
-                            key = (state[begin], piece)
+                            key = (state[begin] << PIECE_BITS) + piece
                             fits = pairs.get(key)
                             if fits is None:
-                                fits = pairs[key] = self._adjacent(*key)
+                                fits = pairs[key] = self._adjacent(state[begin], piece)
                             if fits:
                                 chosen, of = piece, begin
                                 break
@@ -221,7 +225,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*kept, *extra], names=[*batch.schema.names[:-1], "ids", "n_tokens", "round_trip"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_encoded"))
+    source = docs.select(*passed(keep, ("ids", "n_tokens", "round_trip")), F.col("text").alias("_encoded"))
     schema = source.drop("_encoded").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "integer").add("round_trip", "boolean")
     return source.mapInArrow(run, schema)
 
@@ -237,5 +241,5 @@ def decode(rows: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
             texts = pa.array([None if (i := x.as_py()) is None else model.decode(i) for x in batch.column(batch.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "text"])
 
-    source = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("ids").alias("_ids"))
+    source = rows.select(*passed(keep, ("text",)), F.col("ids").alias("_ids"))
     return source.mapInArrow(run, source.drop("_ids").schema.add("text", "string"))
