@@ -38,7 +38,9 @@ from .run_index import RunIndex
 
 LENGTH = 200
 #: Contexts of one anchor in a block; bytes of contexts indexed together.
-BLOCK_CONTEXTS, INDEX_BYTES = 2000, 1_500_000
+BLOCK_CONTEXTS, INDEX_BYTES = 1500, 500_000
+#: Texts whose contexts a worker holds at once.
+ROWS = 500
 
 _ANCHOR = "h long, t long, n int, c long, at int, lo int, hi int"
 
@@ -88,7 +90,7 @@ def _context_rows(length: int):
     """h, c, t, n, lo of each open anchor, and the context's bytes where a task's batch has it first."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             seen, rows = set(), {k: [] for k in ("h", "c", "t", "n", "lo", "size", "context")}
             for r in batch.to_pylist():
                 raw = _unpacked(r["raw"])
