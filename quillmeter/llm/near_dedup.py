@@ -41,6 +41,8 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 400_000
 #: Classes to compare up to which their ids are broadcast to the scan of texts (8 bytes each); beyond, a shuffled semi-join.
 BROADCAST_CLASSES = 2_000_000
 COLUMNS = 2048
+#: keep_one numbers rows without doc_id from here to its double, so that a row with a lesser doc_id stays rather than they.
+UNNAMED = 1 << 62
 
 _seeds = np.random.default_rng(19930301).integers(1, 1 << 63, (2 * COLLECTION * GROUP, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEYS = [f"{c}{i}" for c in "ab" for i in range(COLLECTION)]
@@ -199,11 +201,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = 80) ->
 
 def keep_one(spark: SparkSession, docs: DataFrame, similar: int = 80) -> DataFrame:
     """docs with one document of each group left, the one with the least doc_id; all columns stay as they are.
-    Of rows that repeat a doc_id, one stays; rows without doc_id stay."""
-    gone = materialize(spark, near_duplicates(spark, docs, similar).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    Of rows that repeat a doc_id, the one with the least text stays, whatever the others' texts. Rows without
+    doc_id are compared by a number made of their text, so of their copies too one stays; those without a word stay."""
+    node = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(UNNAMED))
+    gone = materialize(spark, near_duplicates(spark, docs.select(node.alias("doc_id"), "text"), similar).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
     if gone.count() <= BROADCAST_CLASSES:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    left = docs.join(gone, node == gone["_gone"], "left_anti")
+    single = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    if not docs.filter(~single).groupBy(node).count().filter("count > 1").isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        order = F.struct("text", F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns]))
+        firsts = left.filter(~single).groupBy(node.alias("_node")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+        left = firsts.unionByName(left.filter(single))
     return left
