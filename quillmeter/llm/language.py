@@ -6,11 +6,13 @@ sum wins; it is rejected when its margin over the next one is narrow. Blocks cov
 text, so a long text's own content doesn't drown the dictionary's share. Case doesn't count.
 A block under SHORT bytes is compressed behind a piece of each language's own dictionary, less
 what that piece takes alone: by itself it would be stored as it is, whatever the dictionary.
+Sizes are whole bytes, so very short texts tie; a text under SHORT bytes that ties is compressed
+behind LEADS pieces of each dictionary, and the sizes are added up.
 
 The dictionaries are the only thing learned: at most SAMPLE_TEXTS texts and DICTIONARY_BYTES
 bytes a language (the bound of the sample), picked by hash, copies only once.
 
-Defined cases: null text and text without a letter are `und` with score 0, not accepted; a tie
+Defined cases: null text and text without a letter are `und` with score 0, not accepted; a tie that stays
 goes to the first language by name, with score 0; with no labelled text every document is
 `und`; repeated rows are scored alike; an empty table gives no rows; columns besides doc_id,
 text and lang are not read.
@@ -32,6 +34,7 @@ DICTIONARY_BYTES = 112_000
 BLOCK = 4096
 LEVEL = 6
 SHORT = 512
+LEADS = 16
 #: Least accepted margin: 1 - smallest / second smallest.
 MARGIN = 0.01
 UNDETERMINED = "und"
@@ -70,7 +73,7 @@ class Classifier:
         import zstandard
 
         self.names = sorted(dictionaries)
-        self.compressors, self.leads, self.alone = [], [], []
+        self.compressors, self.leads, self.alone, self.more = [], [], [], []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
@@ -78,15 +81,23 @@ class Classifier:
             half = len(dictionaries[name]) // 2
             self.leads.append(dictionaries[name][half : half + SHORT])
             self.alone.append(len(self.compressors[-1].compress(self.leads[-1])))
+            pieces = [dictionaries[name][at : at + SHORT] for at in (k * len(dictionaries[name]) // LEADS for k in range(LEADS))]
+            self.more.append([(x, len(self.compressors[-1].compress(x))) for x in pieces])
 
     def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         return [sum(len(c.compress(b)) if len(b) >= SHORT else len(c.compress(lead + b)) - alone for b in blocks) for c, lead, alone in zip(self.compressors, self.leads, self.alone, strict=True)]
 
+    def finer(self, data: bytes) -> list[int]:
+        return [sum(len(c.compress(lead + data)) - alone for lead, alone in more) for c, more in zip(self.compressors, self.more, strict=True)]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.names or not text or not _LETTER.search(text):
             return UNDETERMINED, 0.0
-        order = sorted(zip(self.sizes(text.lower().encode()), self.names, strict=True))
+        data = text.lower().encode()
+        order = sorted(zip(self.sizes(data), self.names, strict=True))
+        if len(order) > 1 and order[0][0] == order[1][0] and len(data) < SHORT:
+            order = sorted(zip(self.finer(data), self.names, strict=True))
         return order[0][1], max(0.0, min(1.0, 1.0 - order[0][0] / max(1, order[1][0]))) if len(order) > 1 else 1.0
 
 
