@@ -8,13 +8,14 @@ anchors repeat:
 1. Each text's anchors are counted over the corpus by hash, with map-side combining, together with
    the least and the largest hash of the anchor's context (the bytes of all windows that have it).
 2. Anchors seen once end there. Where all occurrences have one context, all its windows repeat.
-3. Otherwise the distinct contexts of an anchor are indexed: a run-compressed Burrows-Wheeler
-   transform with samples at run ends. Windows of one block of contexts that repeat among themselves
-   are read off the index; other blocks of the same anchor are streamed over it (matching
-   statistics), in both directions. A hot anchor is many pairs of blocks in many tasks.
+3. Otherwise the distinct contexts of an anchor are indexed. Windows of one block of contexts that
+   repeat among themselves are read off the suffix order; other blocks of the same anchor (over
+   BLOCK_CONTEXTS contexts) are streamed over a run-compressed Burrows-Wheeler transform with
+   samples at run ends (matching statistics), in both directions. A hot anchor is many pairs of blocks in many tasks.
 4. Marks go back from contexts to texts, and are merged to spans.
 
-A text is known by a 64-bit hash and its size from step 1 on; windows are decided on bytes. Texts are
+A text is known by a 64-bit hash and its size from step 1 on; windows of step 3 are
+decided on bytes, those of step 2 by the 64-bit hash of their context. Texts are
 shuffled twice, compressed: to their open anchors and to their spans, neither of which is of bounded size.
 
 Defined cases: null is the empty text; texts under LENGTH bytes stay whole; repeated rows are
