@@ -6,7 +6,9 @@ bytes that cover the whole document; each filter's largest response in a chunk i
 combines them into one probability.
 
 The network is fitted on a bounded sample of labelled documents (SAMPLE of each label, at
-most SAMPLE_CHUNKS chunks of each); the sample's weights restore the labels' frequencies.
+most SAMPLE_CHUNKS chunks of each an epoch); of a text of over SAMPLED characters, PIECES chunks go
+to the driver, one from each of PIECES equal parts, so that no part of the text is left out of the
+draw, at places picked by hash. The sample's weights restore the labels' frequencies.
 
 Defined cases: null and empty texts are one chunk of zero bytes and get that score; very long
 texts are scored in slices of SLICE chunks; repeated rows score alike; documents with several
@@ -28,6 +30,8 @@ from ._shared import passed
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
 DIM, FILTERS = 8, 32
 SAMPLE, SAMPLE_CHUNKS = 1500, 4
+PIECES = SAMPLE_CHUNKS * 8
+SAMPLED = PIECES * CHUNK
 SLICE = 256
 THRESHOLD = 0.3
 
@@ -70,8 +74,8 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(total @ self.out + self.constant[0], -50, 50))))
 
 
-def fit(texts: list[bytes], labels: list[int], priors: tuple[float, float], seed: int = 7, epochs: int = 10) -> Network:
-    """Adam on the weighted log loss; gradients flow through each filter's largest window alone."""
+def fit(texts: list[bytes | list[bytes]], labels: list[int], priors: tuple[float, float], seed: int = 7, epochs: int = 10) -> Network:
+    """Adam on the weighted log loss, over texts or pieces of them; gradients flow through each filter's largest window alone."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     share = np.array([max(1, (y == v).sum()) / len(y) for v in (0, 1)])
@@ -80,7 +84,7 @@ def fit(texts: list[bytes], labels: list[int], priors: tuple[float, float], seed
     net.embed[0] = 0
     params = [net.embed, net.filters, net.bias, net.out, net.constant]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    all_chunks = [chunks_of(t)[0] for t in texts]
+    all_chunks = [np.concatenate([chunks_of(x)[0] for x in ([t] if isinstance(t, bytes) else t)]) for t in texts]
     n = (CHUNK - WIDTH) // STRIDE + 1
     step = 0
     for epoch in range(epochs):
@@ -115,6 +119,16 @@ def fit(texts: list[bytes], labels: list[int], priors: tuple[float, float], seed
     return net
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """doc_id and pieces: the whole text, or PIECES chunks over all of a longer one; of several texts of a doc_id, those of the least hash."""
+    text = F.coalesce("text", F.lit(""))
+    raw, n = F.encode(text, "UTF-8"), F.octet_length(text)
+    part = F.floor(n / PIECES).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(raw, (F.floor(i * (n.cast("long")) / PIECES) + F.pmod(F.xxhash64("doc_id", i), part - CHUNK + 1) + 1).cast("int"), F.lit(CHUNK)))
+    pieces = F.when(F.char_length(text) <= SAMPLED, F.array(raw)).otherwise(drawn)
+    return docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), pieces.alias("pieces")).alias("of")).groupBy("doc_id").agg(F.min("of").alias("of")).select("doc_id", "of.pieces")
+
+
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Network | float:
     """Fit on at most sample documents of each label, picked by hash of doc_id; a number if labels don't allow a fit."""
     own = labels.filter(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -127,9 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     for value in (0, 1):
         rows = own.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
         picked |= {r["doc_id"]: value for r in rows}
-    longest = SAMPLE_CHUNKS * 8 * CHUNK
-    texts = docs.filter(F.col("doc_id").isin(list(picked))).groupBy("doc_id").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, longest)).alias("text")).collect()
-    rows = sorted((r["doc_id"], r["text"].encode()) for r in texts)
+    rows = sorted((r["doc_id"], [bytes(x) for x in r["pieces"]]) for r in _pieces(docs.filter(F.col("doc_id").isin(list(picked)))).collect())
     return fit([t for _, t in rows], [picked[k] for k, _ in rows], (n0 / (n0 + n1), n1 / (n0 + n1)))
 
 
