@@ -16,8 +16,10 @@ which are literals of the plan. Documents are neither shuffled nor exploded: row
 hit end in the scan, and only (document, item) counts meet afterwards.
 
 Defined cases: null, empty and blank texts have no shingle, so such documents contain nothing
-and such items are found nowhere; items of under five words are found only in documents of
-exactly these words; repeated rows of a doc_id give one pair with the largest count; a null
+and such items are found nowhere; an item of under five words is found wherever its words stand
+in a row, so documents are probed with shingles of these lengths too where items have them (the
+SQL, which knows five-word shingles and whole texts alone, agrees on items of five words or more);
+repeated rows of a doc_id give one pair with the largest count; a null
 doc_id is a group of its own; empty tables give no rows; only doc_id and text, item_id and
 text are read.
 """
@@ -44,27 +46,34 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.translate(text, UPPER, LOWER), SPACE), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def _shingles(text: Column) -> Column:
-    """Shingle hashes of a text. The words are bound to a lambda's variable, so that they are computed
+def _shingles(text: Column, lengths: tuple[int, ...] = ()) -> Column:
+    """Shingle hashes of a text, and those of the further lengths (under WORDS) in words. The words are bound to a lambda's variable, so that they are computed
     once, however the optimiser moves the expression."""
 
     def of(w: Column) -> Column:
         n = F.size(w)
         long = F.transform(F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]))
         short = F.when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(n >= WORDS, long).otherwise(short)
+        own = F.when(n >= WORDS, long).otherwise(short)
+        return F.concat(own, *[runs(w, k) for k in lengths]) if lengths else own
+
+    def runs(w: Column, k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, k)))
+        return F.when(F.size(w) >= k, every).otherwise(F.array().cast("array<bigint>"))
 
     return F.get(F.transform(F.array(_word_hashes(text)), of), F.lit(0))
 
 
-def shingled(texts: DataFrame, key: str) -> DataFrame:
+def shingled(texts: DataFrame, key: str, lengths: tuple[int, ...] = ()) -> DataFrame:
     """key, text_hash and the array of shingle hashes of each text."""
-    return texts.select(key, F.xxhash64("text").alias("text_hash"), _shingles(F.coalesce("text", F.lit(""))).alias("shingles"))
+    return texts.select(key, F.xxhash64("text").alias("text_hash"), _shingles(F.coalesce("text", F.lit("")), lengths).alias("shingles"))
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """item_id, shingles (distinct), n_item, size_class and the bottom-k sketch of each item."""
-    sets = shingled(items, "item_id").select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles")).distinct()
+    """item_id, n_words (WORDS at most), shingles (distinct), n_item, size_class and the bottom-k sketch of each item."""
+    counted = items.select("item_id", "text", F.least(F.size(_word_hashes(F.coalesce("text", F.lit("")))), F.lit(WORDS)).alias("n_words"))
+    own = counted.select("item_id", "n_words", _shingles(F.coalesce("text", F.lit(""))).alias("shingles"))
+    sets = own.select("item_id", "n_words", F.array_sort(F.array_distinct("shingles")).alias("shingles")).distinct()
     sized = sets.withColumn("n_item", F.size("shingles")).filter("n_item > 0").withColumn("size_class", F.ceil(F.log2("n_item")).cast("int"))
     k = F.floor(F.pow(F.lit(2), F.col("size_class")) * (100 - PERCENT) / 100).cast("int") + 1
     return sized.withColumn("sketch", F.slice("shingles", F.lit(1), k))
@@ -87,8 +96,9 @@ def _search(docs: DataFrame, known: DataFrame) -> DataFrame:
     # a block's sketches hold at most about BLOCK_HASHES hashes, and at least a fifth of its shingles: both sides below are of bounded size
     entries = known.select(F.explode("sketch").alias("hit"), "item_id", "n_item", "shingles")
     literals = [r["hit"] for r in entries.select("hit").distinct().collect()]
+    lengths = tuple(sorted(r["n_words"] for r in known.filter(F.col("n_words") < WORDS).select("n_words").distinct().collect()))
     # exploding an expression, not a column, keeps the optimiser from adding a filter that computes it twice
-    hits = shingled(docs, "doc_id").select("doc_id", "text_hash", F.col("shingles").alias("of_doc"), F.explode(F.array_distinct(F.filter("shingles", lambda h: h.isin(literals)))).alias("hit"))
+    hits = shingled(docs, "doc_id", lengths).select("doc_id", "text_hash", F.col("shingles").alias("of_doc"), F.explode(F.array_distinct(F.filter("shingles", lambda h: h.isin(literals)))).alias("hit"))
     by_hash = entries.groupBy("hit").agg(F.collect_set("item_id").alias("ids"))
     pairs = hits.join(F.broadcast(by_hash), "hit").select("doc_id", "text_hash", "of_doc", F.explode("ids").alias("item_id"))
     full = pairs.join(F.broadcast(known.select("item_id", "n_item", "shingles")), "item_id")
