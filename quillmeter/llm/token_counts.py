@@ -6,7 +6,8 @@ every context limit, without going back to the documents.
 
 Defined cases: null and empty texts have 0 tokens; special-token strings in a text
 are ordinary text; repeated rows count as often as they occur; an empty table gives
-an empty histogram; only the text column is read.
+an empty histogram; texts of any length are encoded whole, one at a time; only the text
+column is read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 128
 
@@ -93,4 +96,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> dict[float, int | None]:
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
-    return suffix_sums(histogram(encoded_lengths(docs, vocabulary_path, pattern)))
+    """The histogram, stored so that documents are encoded once, with its suffix sums."""
+    return suffix_sums(materialize(spark, histogram(encoded_lengths(docs, vocabulary_path, pattern)), "length-histogram"))
