@@ -1,8 +1,7 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is the text as UTF-8, padded with zero bytes to a positive multiple of 64,
-stored losslessly as an 8-bit greyscale PNG: one row of samples, or rows of 64 beyond
-LONGEST_ROW. Payloads are stored in tar shards under their digest as name; rows carry
+stored losslessly as an 8-bit greyscale PNG of 64 samples a row. Payloads are stored in tar shards under their digest as name; rows carry
 digest, shard, offset and length. Metadata columns come from range reads of the
 PNG's header alone; features come from reading the stored bytes back.
 
@@ -13,7 +12,7 @@ again, to a temporary name that is then renamed. A shard is streamed, never gath
 
 Defined cases: null text is the empty text, whose payload is 64 zero bytes; equal texts
 share one object; repeated rows stay rows; an empty table gives no rows and no shard;
-only doc_id and text are read.
+only doc_id and text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -31,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, scratch
+from ._shared import materialize, scratch, skewed_join
 
 WIDTH = 64
-LONGEST_ROW = 1 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, length, type and body of the first chunk: enough for all metadata.
 HEADER_BYTES = 33
@@ -49,11 +47,10 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def to_png(payload: bytes) -> bytes:
-    width = len(payload) if len(payload) <= LONGEST_ROW else WIDTH
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    filtered = np.zeros((len(rows), width + 1), np.uint8)  # filter 0 before each row
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)  # filter 0 before each row
     filtered[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
@@ -86,7 +83,7 @@ def feature_of(payload: bytes) -> str:
     mean = float((p * np.arange(256)).sum())
     dev = float(np.sqrt(max(0.0, (p * (np.arange(256) - mean) ** 2).sum())))
     used = p[p > 0]
-    return f"64x{len(payload) // WIDTH};mean={mean:.4f};dev={dev:.4f};high={float(p[128:].sum()):.4f};entropy={float(-(used * np.log2(used)).sum()):.4f}"
+    return f"{WIDTH}x{len(payload) // WIDTH};mean={mean:.4f};dev={dev:.4f};high={float(p[128:].sum()):.4f};entropy={float(-(used * np.log2(used)).sum()):.4f}"
 
 
 def _filesystem(uri: str):
@@ -193,14 +190,15 @@ def members(folder: str, shard: str) -> list[tuple[str, bytes]]:
 def media_columns(spark: SparkSession, docs: DataFrame, folder: str | None = None) -> DataFrame:
     """docs' doc_id with n_bytes and the media columns of its payload.
 
-    The index is read where it lies, in the order of its shards. Copies join one small index row each; the
-    join is an ordinary sort-merge join on the digest, whose skewed side (a hot digest) adaptive execution splits."""
+    The index is read where it lies, in the order of its shards. Copies join one small index row each; rows of a
+    hot digest aren't shuffled."""
     folder = folder or scratch(spark, "media")
     stored = read_back(store(spark, docs, folder), folder)
     place = F.struct("shard", "offset", *[c for c in stored.columns if c not in ("digest", "shard", "offset")])
-    features = stored.groupBy("digest").agg(F.min(place).alias("m")).select("digest", "m.*")
+    features = materialize(spark, stored.groupBy("digest").agg(F.min(place).alias("m")).select("digest", "m.*"), "media-features")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     padding = F.when(F.length("raw") == 0, WIDTH).otherwise(F.pmod(-F.length("raw"), F.lit(WIDTH)))
     zeros = F.expr(f"unhex(repeat('00', {WIDTH}))")
     keyed = docs.select("doc_id", raw.alias("raw")).select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.concat("raw", F.substring(zeros, F.lit(1), padding)), 256)).alias("digest"))
-    return keyed.join(features, "digest").withColumn("digest", F.lower(F.hex("digest")))
+    keyed = materialize(spark, keyed, "media-digests")
+    return skewed_join(keyed, features, ["digest"]).withColumn("digest", F.lower(F.hex("digest")))
