@@ -8,7 +8,8 @@ and 2, 40 minhashes do for 100 tables. Two sets of similarity s meet in a table
 
 1. Documents with the same shingle set are one class, named by its least doc_id, from here on.
 2. A bucket's leader is its least class; leader and size are aggregated map-side, then joined to
-   the bucket's members, so that a hot bucket is split. Buckets of one class end here.
+   the bucket's members. Rows of hot buckets, groups and classes aren't shuffled (skewed_join).
+   Buckets of one class end here.
 3. All classes that a leader leads in any table form its group: every pair that met in a table is
    in the group of the bucket's leader. Where classes of a group are in the group of the leader's
    own first leader too, they needn't be compared with each other once more; a group without
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, skewed_join
 from .components import connected_components
 from .shingles import mix, shingle_sets, slices
 
@@ -93,13 +94,14 @@ def candidate_groups(spark: SparkSession, classes: DataFrame) -> DataFrame:
     rows = keyed.select("class", "n_shingles", F.explode(keys).alias("key"))
     buckets = rows.groupBy("key").agg(F.min("class").alias("leader"), F.max("class").alias("last")).filter("leader != last").select("key", "leader")
     led = materialize(spark, rows.join(buckets, "key").groupBy("leader", "class").agg(F.max("n_shingles").alias("n_shingles")), "led")
-    home = led.groupBy("class").agg(F.min("leader").alias("home"))
-    own = led.join(home.withColumnRenamed("class", "leader"), "leader")
+    home = materialize(spark, led.groupBy("class").agg(F.min("leader").alias("home")), "homes")
+    size = materialize(spark, led.groupBy("leader").agg(F.count("*").alias("_n")), "group-sizes")
+    own = skewed_join(led, home.withColumnRenamed("class", "leader"), ["leader"], size)
     known = led.select(F.col("leader").alias("home"), "class", F.lit(True).alias("known"))
     flagged = own.join(known, ["home", "class"], "left").withColumn("new", F.col("known").isNull() | (F.col("home") == F.col("leader")))
     flagged = materialize(spark, flagged.select("leader", "class", "n_shingles", "new"), "groups")
     active = flagged.groupBy("leader").agg(F.max("new").alias("any"), F.count("*").alias("n"), F.sum("n_shingles").alias("mass")).filter("any").drop("any")
-    return flagged.join(active, "leader")
+    return skewed_join(flagged, materialize(spark, active, "active-groups"), ["leader"], size)
 
 
 def _compare(similar: int):
@@ -107,7 +109,7 @@ def _compare(similar: int):
 
     def links(ids: np.ndarray, sets: list[np.ndarray], new: np.ndarray) -> tuple[list[int], list[int]]:
         n = len(sets)
-        sizes = np.array([len(s) for s in sets], np.float32)
+        sizes = np.array([len(s) for s in sets], np.float64)
         owner = np.repeat(np.arange(n), sizes.astype(int))
         values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.cumsum(often > 1) - 1
@@ -115,7 +117,7 @@ def _compare(similar: int):
         owner, column = owner[shared], rank[column[shared]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        common = np.zeros((n, n), np.float32)
+        common = np.zeros((n, n))  # float64: counts, and 100 times as much, are whole numbers in it
         for at in range(0, int((often > 1).sum()), COLUMNS):
             lo, hi = np.searchsorted(column, [at, at + COLUMNS])
             block = np.zeros((n, COLUMNS), np.float32)
@@ -187,14 +189,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = 80) ->
     """doc_id, n_shingles, component_id, kept of every row of docs; similar: least similarity of a link in percent."""
     known = materialize(spark, features(docs), "features")
     signature = [F.max(k).alias(k) for k in _KEYS]
-    classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("class"), *signature)
+    classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("class"), F.count("*").alias("_n"), *signature)
     classes = materialize(spark, classes, "signatures")
     groups = materialize(spark, candidate_groups(spark, classes), "candidates")
     labels = connected_components(spark, verified_links(spark, docs, groups, similar))
     named = classes.select("s0", "s1", "n_shingles", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
     # classes that share a doc_id (rows of one id with different texts) are one node
     named = named.select("s0", "s1", "n_shingles", F.coalesce("component", "class").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "s0", "s1").join(named, ["s0", "s1", "n_shingles"], "left")
+    named = materialize(spark, named, "components")
+    rows = known.select("doc_id", "n_shingles", "s0", "s1")
+    keys = ["s0", "s1", "n_shingles"]
+    out = skewed_join(rows.filter("n_shingles > 0"), named, keys, classes.select(*keys, "_n"), "left")
+    out = out.unionByName(rows.filter("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
