@@ -4,17 +4,19 @@ Each language has a zstandard raw-content dictionary made of sample texts. A tex
 blocks, every block is compressed with every dictionary, and the language with the smallest
 sum wins; it is rejected when its margin over the next one is narrow. Blocks cover the whole
 text, so a long text's own content doesn't drown the dictionary's share. Case doesn't count.
-A block under SHORT bytes is compressed behind a piece of each language's own dictionary, less
-what that piece takes alone: by itself it would be stored as it is, whatever the dictionary.
-Sizes are whole bytes, so very short texts tie; a text under SHORT bytes that ties is compressed
-behind LEADS pieces of each dictionary, and the sizes are added up.
+Every block, whatever its size, is compressed behind a lead, a piece of the language's own
+dictionary, less what the lead takes alone: a short block by itself would be stored as it is,
+whatever the dictionary. Sizes are whole bytes, so short texts may tie; a text that ties is
+compressed behind LEADS such pieces, and the sizes are added up.
 
 The dictionaries are the only thing learned: at most SAMPLE_TEXTS texts and DICTIONARY_BYTES
-bytes a language (the bound of the sample), picked by hash, copies only once.
+bytes a language (the bound of the sample), picked by hash, copies only once. Of a text longer
+than its share, pieces of PIECE bytes are taken at even distances over the whole of it.
 
 Defined cases: null text and text without a letter are `und` with score 0, not accepted; a tie that stays
 goes to the first language by name, with score 0; with no labelled text every document is
-`und`; repeated rows are scored alike; an empty table gives no rows; columns besides doc_id,
+`und`; of rows that repeat a doc_id, the picked text itself is learned, not another of that id's;
+very long texts are blocks like any; repeated rows are scored alike; an empty table gives no rows; columns besides doc_id,
 text and lang are not read.
 """
 
@@ -33,8 +35,10 @@ SAMPLE_TEXTS = 64
 DICTIONARY_BYTES = 112_000
 BLOCK = 4096
 LEVEL = 6
-SHORT = 512
+#: Bytes of a lead, and of a piece of a sampled text.
+PIECE = 512
 LEADS = 16
+ONE, ALL = slice(LEADS // 2, LEADS // 2 + 1), slice(None)
 #: Least accepted margin: 1 - smallest / second smallest.
 MARGIN = 0.01
 UNDETERMINED = "und"
@@ -47,57 +51,63 @@ def learn(docs: DataFrame, usable: Column) -> dict[str, bytes]:
     each of SAMPLE_TEXTS bins are taken, so at most that many rows a language reach the driver."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     hashed = rows.select("lang", "doc_id", F.xxhash64("text").alias("h")).withColumn("bin", F.pmod("h", F.lit(SAMPLE_TEXTS)))
-    picks = hashed.groupBy("lang", "bin").agg(F.min(F.struct("h", "doc_id")).alias("pick")).select("lang", "pick.doc_id").collect()
+    picks = hashed.groupBy("lang", "bin").agg(F.min(F.struct("h", "doc_id")).alias("pick")).select("lang", "pick.doc_id", "pick.h").collect()
     if not picks:
         return {}
-    texts = docs.filter(F.col("doc_id").isin(sorted({r["doc_id"] for r in picks}))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    by_id = {r["doc_id"]: r["text"] for r in texts}
+    wanted = {(r["doc_id"], r["h"]) for r in picks}
+    rows = docs.filter(F.col("doc_id").isin(sorted({i for i, _ in wanted}))).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = rows.filter(F.col("h").isin(sorted({h for _, h in wanted}))).groupBy("doc_id", "h").agg(F.min("text").alias("text"))
+    by_key = {(r["doc_id"], r["h"]): r["text"] for r in rows.collect()}
     found: dict[str, list[bytes]] = {}
     for r in sorted(picks, key=lambda r: (r["lang"], r["doc_id"])):
-        found.setdefault(r["lang"], []).append(by_id[r["doc_id"]].lower().encode())
-    share = {lang: DICTIONARY_BYTES // len(x) for lang, x in found.items()}
-    return {lang: _fill(sorted(x, key=lambda t: (len(t), t)), share[lang]) for lang, x in sorted(found.items())}
+        found.setdefault(r["lang"], []).append(by_key[r["doc_id"], r["h"]].lower().encode())
+    return {lang: _fill(x, DICTIONARY_BYTES) for lang, x in sorted(found.items())}
 
 
-def _fill(texts: list[bytes], share: int) -> bytes:
-    """Short texts whole; what they leave of their share goes to the longer ones."""
-    out, left = [], share * len(texts)
-    for i, t in enumerate(texts):
-        out.append(t[: left // (len(texts) - i)])
-        left -= len(out[-1])
+def _fill(texts: list[bytes], room: int) -> bytes:
+    """At most room bytes: short texts whole; what they leave of their equal share goes to the longer ones."""
+    out = []
+    for i, t in enumerate(sorted(texts, key=lambda t: (len(t), t))):
+        out.append(_spread(t, room // (len(texts) - i)))
+        room -= len(out[-1])
     return b"\n".join(out)
 
 
+def _spread(text: bytes, share: int) -> bytes:
+    """The text, or pieces of it at even distances, from its beginning to its end."""
+    if len(text) <= share:
+        return text
+    n = max(1, share // PIECE)
+    size = min(PIECE, share)
+    return b"".join(text[at : at + size] for at in (k * (len(text) - size) // max(1, n - 1) for k in range(n)))
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard
 
         self.names = sorted(dictionaries)
-        self.compressors, self.leads, self.alone, self.more = [], [], [], []
+        self.compressors, self.leads = [], []
         for name in self.names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data = dictionaries[name]
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
-            half = len(dictionaries[name]) // 2
-            self.leads.append(dictionaries[name][half : half + SHORT])
-            self.alone.append(len(self.compressors[-1].compress(self.leads[-1])))
-            pieces = [dictionaries[name][at : at + SHORT] for at in (k * len(dictionaries[name]) // LEADS for k in range(LEADS))]
-            self.more.append([(x, len(self.compressors[-1].compress(x))) for x in pieces])
+            pieces = [data[at : at + PIECE] for at in (k * len(data) // LEADS for k in range(LEADS))]
+            self.leads.append([(x, len(self.compressors[-1].compress(x))) for x in pieces])
 
-    def sizes(self, data: bytes) -> list[int]:
+    def sizes(self, data: bytes, leads: slice) -> list[int]:
+        """By language: what the blocks of data take behind the leads, added up."""
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum(len(c.compress(b)) if len(b) >= SHORT else len(c.compress(lead + b)) - alone for b in blocks) for c, lead, alone in zip(self.compressors, self.leads, self.alone, strict=True)]
-
-    def finer(self, data: bytes) -> list[int]:
-        return [sum(len(c.compress(lead + data)) - alone for lead, alone in more) for c, more in zip(self.compressors, self.more, strict=True)]
+        return [sum(len(c.compress(lead + b)) - alone for b in blocks for lead, alone in own[leads]) for c, own in zip(self.compressors, self.leads, strict=True)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.names or not text or not _LETTER.search(text):
             return UNDETERMINED, 0.0
         data = text.lower().encode()
-        order = sorted(zip(self.sizes(data), self.names, strict=True))
-        if len(order) > 1 and order[0][0] == order[1][0] and len(data) < SHORT:
-            order = sorted(zip(self.finer(data), self.names, strict=True))
+        order = sorted(zip(self.sizes(data, ONE), self.names, strict=True))
+        if len(order) > 1 and order[0][0] == order[1][0]:
+            order = sorted(zip(self.sizes(data, ALL), self.names, strict=True))
         return order[0][1], max(0.0, min(1.0, 1.0 - order[0][0] / max(1, order[1][0]))) if len(order) > 1 else 1.0
 
 
