@@ -11,23 +11,24 @@ least one hash of the sketch is in the document: the search loses nothing, howev
 document. Documents are probed with their full shingle sets, candidates are verified by
 exact containment.
 
-Items are the query set; they go through in blocks of at most BLOCK_HASHES sketch hashes,
-which are literals of the plan. Documents are neither shuffled nor exploded: rows without a
-hit end in the scan, and only (document, item) counts meet afterwards.
+The sketches of all items make one bitmap (a Bloom filter of one hash) of a size that follows their
+counted number, up to MOST_BITS; beyond, it only lets more through. Documents are read once for the
+search: shingles that are not in the bitmap end in the scan, the few others meet the table of
+sketch hashes, broadcast only below BROADCAST_HASHES entries, counted first, and shuffled beyond.
+Documents with a candidate are shingled a second time for the verification, each distinct text once.
+A text is known by its 64-bit hash and size.
 
 Defined cases: null, empty and blank texts have no shingle, so such documents contain nothing
 and such items are found nowhere; an item of under five words is found wherever its words stand
 in a row, so documents are probed with shingles of these lengths too where items have them (the
 SQL, which knows five-word shingles and whole texts alone, agrees on items of five words or more);
 repeated rows of a doc_id give one pair with the largest count; a null
-doc_id is a group of its own; empty tables give no rows; only doc_id and text, item_id and
-text are read.
+doc_id is a group of its own; exactly 80 % counts as contained; texts and items of any length are
+shingled whole; empty tables give no rows; only doc_id and text, item_id and text are read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,10 @@ from ._shared import materialize
 
 WORDS = 5
 PERCENT = 80
-BLOCK_HASHES = 20_000
+#: Bits of the bitmap for each sketch hash, and at most (16 MB).
+BITS_EACH, MOST_BITS = 32, 1 << 27
+#: Sketch entries, and shingles of items, up to which they are broadcast (16 and 8 bytes each), counted first.
+BROADCAST_HASHES, BROADCAST_SHINGLES = 1_000_000, 2_000_000
 #: Contaminated documents up to which their keys are broadcast (16 bytes each), counted first; beyond, a shuffled anti-join.
 BROADCAST_LEAKS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,11 +68,6 @@ def _shingles(text: Column, lengths: tuple[int, ...] = ()) -> Column:
     return F.get(F.transform(F.array(_word_hashes(text)), of), F.lit(0))
 
 
-def shingled(texts: DataFrame, key: str, lengths: tuple[int, ...] = ()) -> DataFrame:
-    """key, text_hash and the array of shingle hashes of each text."""
-    return texts.select(key, F.xxhash64("text").alias("text_hash"), _shingles(F.coalesce("text", F.lit("")), lengths).alias("shingles"))
-
-
 def sketches(items: DataFrame) -> DataFrame:
     """item_id, n_words (WORDS at most), shingles (distinct), n_item, size_class and the bottom-k sketch of each item."""
     counted = items.select("item_id", "text", F.least(F.size(_word_hashes(F.coalesce("text", F.lit("")))), F.lit(WORDS)).alias("n_words"))
@@ -79,31 +78,66 @@ def sketches(items: DataFrame) -> DataFrame:
     return sized.withColumn("sketch", F.slice("shingles", F.lit(1), k))
 
 
+def _bitmap(spark: SparkSession, hashes: DataFrame, n_hashes: int) -> tuple[DataFrame, int]:
+    """One row: an array of longs in which the bits of all hashes (column hit) are set; and the number of bits."""
+    bits = 1 << 12
+    while bits < min(n_hashes * BITS_EACH, MOST_BITS):
+        bits *= 2
+    set_ = hashes.select(_word(F.col("hit"), bits).alias("word"), _bit(F.col("hit")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("word"))
+    rows = every.join(F.broadcast(set_), "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    row = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+    return materialize(spark, row, "sketch-bitmap"), bits
+
+
+def _word(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(bits // 64 - 1).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+
+
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("text_hash"), F.octet_length(F.coalesce(text, F.lit(""))).alias("n_bytes")]
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, n_shared, n_item of each document and item with containment of at least PERCENT."""
     known = materialize(spark, sketches(items), "benchmark-sketches")
-    n_hashes = known.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(n_hashes / BLOCK_HASHES))
-    known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)).cast("int"))
-    found = [_search(docs, known.filter(F.col("block") == b)) for b in range(blocks)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
-
-
-def _search(docs: DataFrame, known: DataFrame) -> DataFrame:
-    # a block's sketches hold at most about BLOCK_HASHES hashes, and at least a fifth of its shingles: both sides below are of bounded size
-    entries = known.select(F.explode("sketch").alias("hit"), "item_id", "n_item", "shingles")
-    literals = [r["hit"] for r in entries.select("hit").distinct().collect()]
-    lengths = tuple(sorted(r["n_words"] for r in known.filter(F.col("n_words") < WORDS).select("n_words").distinct().collect()))
+    entries = known.select(F.explode("sketch").alias("hit"), "item_id").distinct()
+    n_hashes, n_shingles = known.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0)), F.coalesce(F.sum("n_item"), F.lit(0))).first()
+    lengths = tuple(r["n_words"] for r in known.filter(F.col("n_words") < WORDS).select("n_words").distinct().orderBy("n_words").collect())
+    bitmap, bits = _bitmap(spark, entries, n_hashes)
+    set_bits = bitmap.scalar()  # read once, and sent along with the tasks
+
+    def shingles(text: Column) -> Column:
+        return _shingles(F.coalesce(text, F.lit("")), lengths)
+
     # exploding an expression, not a column, keeps the optimiser from adding a filter that computes it twice
-    hits = shingled(docs, "doc_id", lengths).select("doc_id", "text_hash", F.col("shingles").alias("of_doc"), F.explode(F.array_distinct(F.filter("shingles", lambda h: h.isin(literals)))).alias("hit"))
-    by_hash = entries.groupBy("hit").agg(F.collect_set("item_id").alias("ids"))
-    pairs = hits.join(F.broadcast(by_hash), "hit").select("doc_id", "text_hash", "of_doc", F.explode("ids").alias("item_id"))
-    full = pairs.join(F.broadcast(known.select("item_id", "n_item", "shingles")), "item_id")
-    full = full.select("doc_id", "text_hash", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", "of_doc")).cast("long").alias("n_shared"))
-    return full.filter(F.col("n_shared") * 100 >= F.col("n_item") * PERCENT)
+    every = docs.select(*_key(F.col("text")), F.explode(shingles(F.col("text"))).alias("hit"))
+    hits = every.filter(F.get(set_bits, _word(F.col("hit"), bits)).bitwiseAND(_bit(F.col("hit"))) != 0)
+    pairs = hits.join(F.broadcast(entries) if n_hashes <= BROADCAST_HASHES else entries, "hit")
+    pairs = materialize(spark, pairs.select("text_hash", "n_bytes", "item_id").distinct(), "decontamination-pairs")
+    verified = materialize(spark, _verified(docs, known, pairs, shingles, n_shingles), "decontamination-verified")
+    # of a document and an item one row is left, whatever the copies of the text: the rows of verified are few
+    small = F.broadcast(verified) if verified.count() <= BROADCAST_LEAKS else verified
+    found = docs.select("doc_id", *_key(F.col("text"))).join(small, ["text_hash", "n_bytes"])
+    return found.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+
+
+def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, shingles, n_shingles: int) -> DataFrame:
+    """text_hash, n_bytes, item_id, n_item, n_shared of the pairs whose exact containment is at least PERCENT."""
+    wanted = pairs.select("text_hash", "n_bytes").distinct()
+    if pairs.count() <= BROADCAST_LEAKS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(*_key(F.col("text")), "text").join(wanted, ["text_hash", "n_bytes"], "left_semi")
+    texts = texts.groupBy("text_hash", "n_bytes").agg(F.max("text").alias("text"))  # copies of a text are one
+    texts = texts.select("text_hash", "n_bytes", F.array_distinct(shingles(F.col("text"))).alias("of_doc"))
+    own = known.select("item_id", F.col("n_item").cast("long").alias("n_item"), "shingles")
+    full = pairs.join(F.broadcast(own) if n_shingles <= BROADCAST_SHINGLES else own, "item_id").join(texts, ["text_hash", "n_bytes"])
+    shared = F.size(F.array_intersect("shingles", "of_doc")).cast("long").alias("n_shared")
+    return full.select("text_hash", "n_bytes", "item_id", "n_item", shared).filter(F.col("n_shared") * 100 >= F.col("n_item") * PERCENT)
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
