@@ -5,18 +5,21 @@ No index of the whole corpus is built. Every window of LENGTH bytes has an ancho
 gram, see anchors.py), and equal windows have equal anchors, so windows are compared only where
 anchors repeat:
 
-1. Each text's anchors are counted over the corpus by hash, with map-side combining, together with
-   the least and the largest hash of the anchor's context (the bytes of all windows that have it).
-2. Anchors seen once end there. Where all occurrences have one context, all its windows repeat.
-3. Otherwise the distinct contexts of an anchor are indexed. Windows of one block of contexts that
-   repeat among themselves are read off the suffix order; other blocks of the same anchor (over
-   BLOCK_CONTEXTS contexts) are streamed over a run-compressed Burrows-Wheeler transform with
-   samples at run ends (matching statistics), in both directions. A hot anchor is many pairs of blocks in many tasks.
-4. Marks go back from contexts to texts, and are merged to spans.
-
-A text is known by a 64-bit hash and its size from step 1 on; windows of step 3 are
-decided on bytes, those of step 2 by the 64-bit hash of their context. Texts are
-shuffled twice, compressed: to their open anchors and to their spans, neither of which is of bounded size.
+1. Each text's anchors are counted over the corpus by hash, with map-side combining. Anchors seen
+   once end there.
+2. The contexts of the others (an anchor's context: the bytes of all windows that have it) are cut from
+   the distinct texts. Equal contexts of an anchor are one class, counted; that its members are equal is
+   checked on bytes, not only on their hashes.
+3. The classes of an anchor are indexed in a run-compressed Burrows-Wheeler transform with samples at
+   run ends, a class of several members twice. Every mark comes from its matching statistics: windows of
+   one index that repeat in it; and, for an anchor of over BLOCK_CONTEXTS classes, windows of one block
+   that occur in another one, streamed in both directions. A hot anchor is many pairs of blocks in many tasks.
+4. Marks go back from classes to texts, and are merged to spans.
+
+A text is known by a 64-bit hash and its size, an anchor's context by two 64-bit hashes (the anchor's and
+its own). Two different contexts of one name stop the job with a message. Two different texts of one name
+(of n distinct texts, less than n * n / 2**65 of one size) would share their marks: that isn't checked.
+Texts are shuffled twice, compressed: to their anchors and to their spans, neither of which is of bounded size.
 
 Defined cases: null is the empty text; texts under LENGTH bytes stay whole; repeated rows are
 copies of each other and vanish whole if they have LENGTH bytes; overlapping matches of a string
@@ -33,17 +36,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import hot_keys, materialize, skewed_join
 from .anchors import anchors, range_hashes
 from .run_index import RunIndex
 
 LENGTH = 200
 #: Contexts of one anchor in a block; bytes of contexts indexed together.
 BLOCK_CONTEXTS, INDEX_BYTES = 1500, 500_000
-#: Texts whose contexts a worker holds at once.
-ROWS = 500
+#: Bytes of contexts that a worker holds at once.
+HELD_BYTES = 8_000_000
 
-_ANCHOR = "h long, t long, n int, c long, at int, lo int, hi int"
+_ANCHOR = "h long, t long, n int, c long, w int, lo int, hi int"
 
 
 def _keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
@@ -68,39 +71,56 @@ def _unpacked(data: bytes) -> bytes:
 
 
 def _anchor_rows(length: int):
+    """h, t, n, c, w, lo, hi of the anchors of a batch's distinct texts; w: how many of the batch's rows have the text."""
+
     def run(batches):
         for batch in batches:
             t, n = (batch.column(i).to_numpy() for i in (0, 1))
+            _, firsts, often = np.unique(np.stack([t, n.astype(np.int64)]), axis=1, return_index=True, return_counts=True)
             parts, counts = [], []
-            for x in batch.column(2):
-                data = np.frombuffer(x.as_py(), np.uint8)
+            for i in firsts.tolist():
+                data = np.frombuffer(batch.column(2)[i].as_py(), np.uint8)
                 at, h, lo, hi = anchors(data, length)
                 counts.append(len(at))
                 if len(at):
-                    parts.append((h, range_hashes(data, lo, hi + length) + (at - lo).astype(np.uint64), at, lo, hi))
+                    parts.append((h, range_hashes(data, lo, hi + length) + (at - lo).astype(np.uint64), lo, hi))
             if not parts:
                 continue
-            h, c, at, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = [h.view(np.int64), np.repeat(t, counts), np.repeat(n, counts), c.view(np.int64), *(x.astype(np.int32) for x in (at, lo, hi))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "t", "n", "c", "at", "lo", "hi"])
+            h, c, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+            per_text = (np.repeat(x, counts) for x in (t[firsts], n[firsts], often.astype(np.int32)))
+            t_of, n_of, w_of = per_text
+            columns = [h.view(np.int64), t_of, n_of, c.view(np.int64), w_of, lo.astype(np.int32), hi.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "t", "n", "c", "w", "lo", "hi"])
 
     return run
 
 
 def _context_rows(length: int):
-    """h, c, t, n, lo of each open anchor, and the context's bytes where a task's batch has it first."""
+    """h, c, t, n, lo, size, w of each anchor in a text, and the context's bytes where they are new to the worker."""
+    kinds = {"h": pa.int64(), "c": pa.int64(), "t": pa.int64(), "n": pa.int32(), "lo": pa.int32(), "size": pa.int32(), "w": pa.int64(), "context": pa.binary()}
 
     def run(batches):
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            seen, rows = set(), {k: [] for k in ("h", "c", "t", "n", "lo", "size", "context")}
+        seen, held, rows = {}, 0, {k: [] for k in kinds}
+        for batch in batches:
             for r in batch.to_pylist():
                 raw = _unpacked(r["raw"])
                 for h, c, lo, hi in zip(*(r[k] for k in ("h", "c", "lo", "hi")), strict=True):
-                    new = (h, c) not in seen
-                    seen.add((h, c))
-                    for k, v in (("h", h), ("c", c), ("t", r["t"]), ("n", r["n"]), ("lo", lo), ("size", hi - lo + 1), ("context", raw[lo : hi + length] if new else None)):
+                    context = raw[lo : hi + length]
+                    known = seen.setdefault((h, c), context)
+                    if known is not context:
+                        if known != context:
+                            raise ValueError(f"two contexts of one name: {h}, {c}")
+                        context = None
+                    else:
+                        held += len(context)
+                    for k, v in zip(kinds, (h, c, r["t"], r["n"], lo, hi - lo + 1, r["w"], context), strict=True):
                         rows[k].append(v)
-            kinds = {"h": pa.int64(), "c": pa.int64(), "t": pa.int64(), "n": pa.int32(), "lo": pa.int32(), "size": pa.int32(), "context": pa.binary()}
+                if held > HELD_BYTES or len(rows["h"]) > 100_000:
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in rows.items()})
+                    rows = {k: [] for k in kinds}
+                    if held > HELD_BYTES:
+                        seen, held = {}, 0
+        if rows["h"]:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
     return run
@@ -119,12 +139,12 @@ def _compare(length: int):
             return
         for own, other in ((left, right), (right, left)):
             index = RunIndex([x[2] for x in own])
-            for (h, c, _), flags in zip(other, index.matched([x[2] for x in other], length), strict=True):
+            for (h, c, _, _), flags in zip(other, index.matched([x[2] for x in other], length), strict=True):
                 for lo, hi in _ranges(flags):
                     yield h, c, lo, hi
 
     def inside(rows: list[tuple]):
-        index = RunIndex([x[2] for x in rows])
+        index = RunIndex([x[2] for x in rows], [x[3] for x in rows])
         edge = np.flatnonzero(np.diff(index.repeated(length), prepend=False, append=False))  # a separator is never repeated
         of = np.searchsorted(index.starts, edge[::2], side="right") - 1
         lo, hi = edge[::2] - index.starts[of], edge[1::2] - index.starts[of]
@@ -149,7 +169,7 @@ def _compare(length: int):
                         yield batch_of(inside(pool))
                         pool, size = [], 0
                     key, cell = k, ([], [])
-                row = (r["h"], r["c"], r["context"])
+                row = (r["h"], r["c"], r["context"], r["twice"])
                 if r["first"] == r["second"]:  # whole anchors and blocks share an index: others have no window of theirs
                     pool.append(row)
                     size += len(r["context"])
@@ -163,31 +183,47 @@ def _compare(length: int):
     return run
 
 
+def _classes(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (h, c, t, n, lo, size, w) of repeated anchors in distinct texts, and their classes (h, c, _n, twice, context):
+    _n occurrences, in several rows of docs or places if twice."""
+    texts = _keyed(docs).filter(F.col("n") >= length).select("t", "n", "raw")
+    found = materialize(spark, texts.mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
+    counts = found.groupBy("h").agg(F.count("*").alias("_n"), F.sum("w").alias("of")).filter("of > 1").select("h", "_n")
+    counts = materialize(spark, counts, "repeated-anchors")
+    own = skewed_join(found.select("h", "t", "n", "c", "lo", "hi"), counts.select("h"), ["h"], counts)
+    # a text's anchors come once from every batch that has it: a set
+    sets = own.groupBy("t", "n").agg(F.collect_set(F.struct("h", "c", "lo", "hi")).alias("a"))
+    sets = sets.select("t", "n", *[F.col(f"a.{k}").alias(k) for k in ("h", "c", "lo", "hi")])
+    whole = _packed(texts).groupBy("t", "n").agg(F.count("*").alias("w"), F.max("raw").alias("raw"))
+    cut = whole.join(sets, ["t", "n"]).select("t", "n", "w", "raw", "h", "c", "lo", "hi")
+    schema = "h long, c long, t long, n int, lo int, size int, w long, context binary"
+    occurrences = materialize(spark, cut.mapInArrow(_context_rows(length), schema), "contexts")
+    grouped = occurrences.groupBy("h", "c").agg(F.count("*").alias("_n"), F.sum("w").alias("of"), F.min("context").alias("context"), F.max("context").alias("largest"))
+    checked = F.when(F.col("context") == F.col("largest"), F.col("context")).otherwise(F.raise_error(F.lit("two contexts of one name")))
+    return occurrences.drop("context"), grouped.select("h", "c", "_n", (F.col("of") > 1).alias("twice"), checked.alias("context"))
+
+
 def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t, n, lo, hi: ranges of window starts, by text, whose windows start elsewhere too."""
-    found = _keyed(docs).filter(F.col("n") >= length).select("t", "n", "raw").mapInArrow(_anchor_rows(length), _ANCHOR)
-    groups = found.groupBy("h").agg(F.count("*").alias("of"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("of > 1").select("h", (F.col("c0") == F.col("c1")).alias("settled"))
-    # a table of its own, so that both sides of the join are plain exchanges and a hot anchor can be split
-    rows = found.join(materialize(spark, groups, "repeated-anchors"), "h")
-    # copies of a text bring its anchors several times: sets
-    packed = rows.groupBy("t", "n").agg(*[F.collect_set(F.when(F.col("settled") == settled, F.struct(*cols))).alias(name) for name, settled, cols in (("settled", True, ("lo", "hi")), ("open", False, ("h", "c", "lo", "hi")))])
-    packed = materialize(spark, packed, "anchors")
-    opened = packed.filter(F.size("open") > 0).select("t", "n", F.col("open.h").alias("h"), F.col("open.c").alias("c"), F.col("open.lo").alias("lo"), F.col("open.hi").alias("hi"))
-    texts = _packed(_keyed(docs).filter(F.col("n") >= length)).join(opened, ["t", "n"]).select("t", "n", "raw", "h", "c", "lo", "hi")
-    occurrences = materialize(spark, texts.mapInArrow(_context_rows(length), "h long, c long, t long, n int, lo int, size int, context binary"), "contexts")
-    classes = occurrences.groupBy("h", "c").agg(F.count("*").alias("of"), F.max("context").alias("context"), F.max("size").alias("size"))
-    counts = occurrences.groupBy("h").agg(F.approx_count_distinct("c").alias("classes")).filter(F.col("classes") > BLOCK_CONTEXTS).select("h", F.ceil(F.col("classes") / BLOCK_CONTEXTS).cast("int").alias("blocks"))
-    placed = classes.join(counts, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod("c", F.col("blocks")).cast("int"))
-    placed = placed.select("h", "c", "context", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = placed.select("h", "c", "context", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    occurrences, classes = _classes(spark, docs, length)
+    by_anchor = occurrences.groupBy("h").agg(F.approx_count_distinct("c").alias("classes"), F.count("*").alias("_n"))
+    by_anchor = materialize(spark, by_anchor, "anchor-sizes")
+    sizes = by_anchor.filter(F.col("classes") > BLOCK_CONTEXTS)
+    sizes = sizes.select("h", F.ceil(F.col("classes") / BLOCK_CONTEXTS).cast("int").alias("blocks"))
+    placed = classes.join(sizes, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod("c", F.col("blocks")).cast("int"))
+    placed = placed.select("h", "c", "context", "twice", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = placed.select("h", "c", "context", "twice", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     dealt = cells.repartition("h", "first", "second").sortWithinPartitions("h", "first", "second")
-    matched = dealt.select("h", "first", "second", "own", "c", "context").mapInArrow(_compare(length), "h long, c long, lo int, hi int")
-    copies = classes.filter("of > 1").select("h", "c", F.lit(0).alias("lo"), F.col("size").alias("hi"))
-    ranges = matched.unionByName(copies).groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    back = occurrences.select("h", "c", "t", "n", F.col("lo").alias("base")).join(ranges, ["h", "c"]).select("t", "n", "base", F.explode("ranges").alias("r"))
-    back = back.select("t", "n", (F.col("base") + F.col("r.lo")).alias("lo"), (F.col("base") + F.col("r.hi")).alias("hi"))
-    settled = packed.select("t", "n", F.explode("settled").alias("r")).select("t", "n", F.col("r.lo").alias("lo"), (F.col("r.hi") + 1).alias("hi"))
-    return back.unionByName(settled)
+    matched = dealt.select("h", "first", "second", "own", "c", "context", "twice").mapInArrow(_compare(length), "h long, c long, lo int, hi int")
+    ranges = materialize(spark, matched.groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    places = occurrences.select("h", "c", "t", "n", F.col("lo").alias("base"))
+    total = by_anchor.agg(F.sum("_n")).first()[0] or 0
+    hot = hot_keys(by_anchor.select("h", "_n"), ["h"], total)  # only these can have a hot class
+    counts = None if hot is None else occurrences.join(F.broadcast(hot), "h", "left_semi").groupBy("h", "c").agg(F.count("*").alias("_n"))
+    joined = places.join(ranges, ["h", "c"]) if counts is None else skewed_join(places, ranges, ["h", "c"], counts, total=total)
+    back = joined.select("t", "n", "base", F.explode("ranges").alias("r"))
+    return back.select("t", "n", (F.col("base") + F.col("r.lo")).alias("lo"), (F.col("base") + F.col("r.hi")).alias("hi"))
 
 
 def spans(marked: DataFrame, length: int = LENGTH) -> DataFrame:

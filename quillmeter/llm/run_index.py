@@ -1,10 +1,16 @@
 """A run-length index: run-compressed Burrows-Wheeler transform with suffix-array samples at run ends.
 
 The indexed strings end in separators of their own, so that no match goes from one to another.
-The suffix order comes from prefix doubling in numpy; what is kept of the transform are its runs:
-heads, first rows, counts of each head's symbol before it, and the text positions of each run's
-first and last row. Matching statistics stream strings over these from right to left, many strings
-in step.
+The suffix order comes from prefix doubling in numpy and is dropped once the runs are made: what is
+kept of the transform are heads, first rows, counts of each head's symbol before it, and the text
+positions of each run's first and last row. A string that occurs more than once is indexed twice; its
+suffixes sort beside their copies, so that the second copy only makes runs longer.
+
+Matching statistics come from this alone:
+* of the indexed strings against each other (the longest match of each position elsewhere): at run ends
+  the neighbouring samples are compared on bytes; elsewhere the match of a position is that of the
+  position before it, one byte shorter, since both rows lie in one run.
+* of other strings: these are streamed from right to left, many in step.
 """
 
 from __future__ import annotations
@@ -14,53 +20,96 @@ import numpy as np
 FIRST = 7  # symbols of the first sort, 9 bits each
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one number (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _shared(words: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Bytes that words' text from a on and others' text from b on have in common, most at most: compared 8 at a time."""
+    out = np.zeros(len(a), np.int64)
+    open_ = np.flatnonzero(most > 0)
+    done = 0
+    while len(open_):
+        differ = words[a[open_] + done] ^ others[b[open_] + done]
+        low = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3)
+        out[open_] = np.minimum(done + same, most[open_])
+        done += 8
+        open_ = open_[(same == 8) & (most[open_] > done)]
+    return out
+
+
+def _suffix_order(symbol: np.ndarray, end_of: np.ndarray) -> np.ndarray:
+    n = len(symbol)
+    key = np.zeros(n, np.int64)
+    for k in range(FIRST):
+        key = (key << 9) | symbol[np.minimum(np.arange(n) + k, end_of)]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(n, bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) | (ordered[1:] == 0)  # separators differ from one another
+    first = np.flatnonzero(new)
+    size = np.diff(first, append=n)
+    rank = np.empty(n, np.int64)  # the first row of suffixes with the same beginning
+    rank[order] = np.repeat(first, size)
+    step = FIRST
+    open_rows = np.flatnonzero(np.repeat(size > 1, size))
+    while len(open_rows):  # only suffixes that still tie are sorted on
+        own = order[open_rows]
+        key = rank[own] * n + rank[np.minimum(own + step, end_of[own])]
+        by = np.argsort(key)
+        own, key = own[by], key[by]  # old ties are contiguous rows, and stay on them
+        order[open_rows] = own
+        new = np.ones(len(own), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=len(own))
+        rank[own] = np.repeat(open_rows[first], size)
+        step *= 2
+        open_rows = open_rows[np.repeat(size > 1, size)]
+    return order
+
+
 class RunIndex:
-    def __init__(self, strings: list[bytes]):
+    """strings are distinct; twice says which of them have a second copy in the index."""
+
+    def __init__(self, strings: list[bytes], twice: list[bool] | None = None):
         lengths = np.array([len(s) for s in strings])
+        copied = [s for s, x in zip(strings, twice or [], strict=False) if x]
+        self.strings = len(strings)
         self.starts = np.cumsum(lengths + 1) - lengths - 1
-        n = int((lengths + 1).sum())
-        self.text = np.frombuffer(b"".join(x for s in strings for x in (s, b"\0")), np.uint8)
-        ends = self.starts + lengths
-        self.end_of = np.repeat(ends, lengths + 1)  # by position: its own separator
-        symbol = self.text.astype(np.int64) + 1
-        symbol[ends] = 0
-        self.symbol = symbol
-        key = np.zeros(n, np.int64)
-        for k in range(FIRST):
-            key = (key << 9) | symbol[np.minimum(np.arange(n) + k, self.end_of)]
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.ones(n, bool)
-        new[1:] = (ordered[1:] != ordered[:-1]) | (ordered[1:] == 0)  # separators differ from one another
+        own = int((lengths + 1).sum())
+        self.text = np.frombuffer(b"".join(x for s in [*strings, *copied] for x in (s, b"\0")), np.uint8)
+        self.n = len(self.text)
+        every = np.concatenate([lengths, np.array([len(s) for s in copied], lengths.dtype)])
+        ends = np.cumsum(every + 1) - 1
+        self.end_of = np.repeat(ends, every + 1)  # by position: its own separator
+        self.symbol = self.text.astype(np.int64) + 1
+        self.symbol[ends] = 0
+        self.words = _words(self.text)
+        order = _suffix_order(self.symbol[:own], self.end_of[:own])
+        if copied:
+            second = np.full(own, -1)
+            again = np.flatnonzero(np.repeat(np.array(twice), lengths + 1))
+            second[again] = own + np.arange(len(again))
+            has = second[order] >= 0
+            row = np.cumsum(1 + has) - 1 - has
+            both = np.empty(self.n, np.int64)
+            both[row] = order
+            both[row[has] + 1] = second[order[has]]
+            order = both
+        self._runs(order)
+
+    def _runs(self, order: np.ndarray) -> None:
+        bwt = self.symbol[order - 1]  # the row of position 0 wraps to the last separator
+        new = np.ones(self.n, bool)
+        new[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)  # separators differ from one another
         first = np.flatnonzero(new)
-        size = np.diff(first, append=n)
-        rank = np.empty(n, np.int64)  # the first row of suffixes with the same beginning
-        rank[order] = np.repeat(first, size)
-        step = FIRST
-        self.levels: list[tuple[int, np.ndarray]] = [(step, rank)]
-        open_rows = np.flatnonzero(np.repeat(size > 1, size))
-        while len(open_rows):  # only suffixes that still tie are sorted on
-            own = order[open_rows]
-            key = rank[own] * n + rank[np.minimum(own + step, self.end_of[own])]
-            by = np.argsort(key)
-            own, key = own[by], key[by]  # old ties are contiguous rows, and stay on them
-            order[open_rows] = own
-            new = np.ones(len(own), bool)
-            new[1:] = key[1:] != key[:-1]
-            first = np.flatnonzero(new)
-            size = np.diff(first, append=len(own))
-            rank = rank.copy()
-            rank[own] = np.repeat(open_rows[first], size)
-            step *= 2
-            self.levels.append((step, rank))
-            open_rows = open_rows[np.repeat(size > 1, size)]
-        self.order, self.rank = order, rank
-        self._runs()
-
-    def _runs(self) -> None:
-        bwt = self.symbol[self.order - 1]  # the row of position 0 wraps to the last separator
-        self.n = len(bwt)
-        first = np.flatnonzero(np.diff(bwt, prepend=-1))
         self.head, self.first = bwt[first], first
         self.last = np.append(first[1:], self.n) - 1
         size = self.last - first + 1
@@ -73,7 +122,7 @@ class RunIndex:
         group = np.searchsorted(heads, heads)
         before[by_head] = total - total[group]
         self.before = before  # rows of the same symbol in earlier runs
-        self.at_first, self.at_last = self.order[first], self.order[self.last]  # the samples
+        self.at_first, self.at_last = order[first], order[self.last]  # the samples
         self.by_head, self.run_key = by_head, heads * self.n + first[by_head]
 
     @property
@@ -81,36 +130,25 @@ class RunIndex:
         return len(self.head)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at positions a and b, from the doubling's ranks."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        for step, rank in reversed(self.levels):
-            same = (rank[a] == rank[b]) & (self.end_of[a] - a >= step) & (self.end_of[b] - b >= step)
-            out[same] += step
-            a[same] += step
-            b[same] += step
-        for _ in range(FIRST):
-            same = (self.symbol[a] == self.symbol[b]) & (self.symbol[a] > 0)
-            if not same.any():
-                break
-            out[same] += 1
-            a[same] += 1
-            b[same] += 1
+        """Length of the longest common prefix of the suffixes at positions a and b, compared on bytes."""
+        return _shared(self.words, a, self.words, b, np.minimum(self.end_of[a] - a, self.end_of[b] - b))
+
+    def elsewhere(self) -> np.ndarray:
+        """By text position: length of the longest string there that starts elsewhere in the index too."""
+        between = self.common(self.at_first[1:], self.at_last[:-1])
+        out = np.zeros(self.n, np.int64)
+        for at, value in ((self.at_first, np.append(0, between)), (self.at_last, np.append(between, 0))):
+            known = np.full(self.n, -1)
+            known[at] = value
+            sampled = np.flatnonzero(known >= 0)  # among them the beginnings of all strings
+            since = np.repeat(sampled, np.diff(sampled, append=self.n))
+            np.maximum(out, known[since] - (np.arange(self.n) - since), out=out)
         return out
 
     def repeated(self, length: int) -> np.ndarray:
-        """By text position: whether the string of length bytes there starts elsewhere in the index too."""
-        a, b = self.order[1:], self.order[:-1]
-        step, rank = max((x for x in self.levels if x[0] <= length), key=lambda x: x[0], default=(0, None))
-        if 0 < step <= length <= 2 * step:  # two overlapping strings of step bytes make one of length bytes
-            last = self.n - 1
-            near = (rank[a] == rank[b]) & (rank[np.minimum(a + length - step, last)] == rank[np.minimum(b + length - step, last)])
-            near &= (self.end_of[a] - a >= length) & (self.end_of[b] - b >= length)
-        else:
-            near = self.common(a, b) >= length
-        out = np.zeros(self.n, bool)
-        out[self.order[1:][near]] = True
-        out[self.order[:-1][near]] = True
-        return out
+        """By position of the strings (without second copies): whether its length bytes start elsewhere in the index too."""
+        own = int(self.end_of[self.starts[-1]]) + 1 if self.strings else 0
+        return self.elsewhere()[:own] >= length
 
     def _step(self, run: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Row of the preceding symbol's suffix (LF) for rows in runs."""
@@ -125,7 +163,7 @@ class RunIndex:
             pattern[i, most - len(s) :] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
         out = np.full((len(strings), most), -1, np.int64)
         row = np.zeros(len(strings), np.int64)
-        at = np.full(len(strings), self.order[0], np.int64)
+        at = np.full(len(strings), self.at_first[0], np.int64)
         for k in range(most - 1, -1, -1):
             live = np.flatnonzero(pattern[:, k])
             if not len(live):
@@ -150,17 +188,19 @@ class RunIndex:
             p = np.where(inside, p, np.where(down_it, p_down, p_up))
             found = inside | up_it | down_it
             row[live] = np.where(found, self._step(run, r), 0)
-            at[live] = np.where(found, p - 1, self.order[0])
+            at[live] = np.where(found, p - 1, self.at_first[0])
             out[live, k] = np.where(found, p - 1, -1)
         return [out[i, most - n :] for i, n in enumerate(lengths)]
 
     def matched(self, strings: list[bytes], length: int) -> list[np.ndarray]:
-        """By string: whether its length bytes from each position on occur in the index."""
-        out = []
-        for s, at in zip(strings, self.matching(strings), strict=True):
-            flag = np.zeros(len(s), bool)
-            for i in np.flatnonzero(at[: max(0, len(s) - length + 1)] >= 0):
-                p = at[i]
-                flag[i] = self.end_of[p] - p >= length and self.text[p : p + length].tobytes() == s[i : i + length]
-            out.append(flag)
-        return out
+        """By string: whether its length bytes from each position on occur in the index, confirmed on bytes."""
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        begins = np.cumsum([0, *map(len, strings[:-1])])
+        at = np.concatenate(self.matching(strings))
+        ends = np.repeat(begins + [len(s) for s in strings], [len(s) for s in strings])
+        places = np.arange(len(data))
+        tried = np.flatnonzero((at >= 0) & (ends - places >= length))
+        p = at[tried]
+        found = np.zeros(len(data), bool)
+        found[tried] = _shared(_words(data), tried, self.words, p, np.minimum(length, self.end_of[p] - p)) >= length
+        return [found[b : b + len(s)] for b, s in zip(begins, strings, strict=True)]
