@@ -53,6 +53,18 @@ def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     assert sorted(map(str, near_dedup.near_duplicates(spark, docs).collect())) == whole
 
 
+def test_similarity_is_exact_for_very_large_sets():
+    """1,700,379 of 2,000,446 is less than 85 %, by less than float32 can tell."""
+    import pyarrow as pa
+
+    sizes = {1: 2_000_446, 2: 1_700_379, 3: 1_700_380}
+    sets = {k: np.arange(n, dtype=np.uint64).tobytes() for k, n in sizes.items()}
+    for a, b, linked in ((1, 2, False), (1, 3, True)):
+        rows = [{"leader": 1, "first": 0, "second": 0, "class": k, "new": True, "set": sets[k]} for k in (a, b)]
+        found = [r for batch in near_dedup._compare(85)([pa.RecordBatch.from_pylist(rows)]) for r in batch.to_pylist()]
+        assert (len(found) == 1) is linked, (a, b)
+
+
 def test_keep_one(spark, docs):
     left = near_dedup.keep_one(spark, docs)
     assert left.columns == docs.columns
@@ -150,13 +162,26 @@ def test_decontamination(spark, docs, corpus):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r[0]) for r in corpus if not any(shingles(t) and 100 * len(shingles(r[1]) & shingles(t)) >= 80 * len(shingles(t)) for _, t in items))
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
+def test_decontamination_beyond_the_broadcasts(spark, docs, monkeypatch):
     items = docs.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id < 12")
     whole = sorted(map(str, decontamination.contaminated(spark, docs, items).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_HASHES", 60)
+    for name in ("BROADCAST_HASHES", "BROADCAST_SHINGLES", "BROADCAST_LEAKS"):
+        monkeypatch.setattr(decontamination, name, 0)
+    monkeypatch.setattr(decontamination, "MOST_BITS", 1 << 12)
     assert sorted(map(str, decontamination.contaminated(spark, docs, items).collect())) == whole and whole
 
 
+def test_decontamination_of_many_items_and_a_very_long_one(spark):
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"{c}"), F.xxhash64("id", F.lit(c)).cast("string")) for c in "abcdefg"]).alias("text"))
+    long = " ".join(f"w{i}" for i in range(120_000))
+    items = items.unionByName(spark.createDataFrame([(-1, long)], "item_id long, text string"))
+    picked = {r["item_id"]: r["text"] for r in items.filter("item_id in (5, 77777)").collect()}
+    rows = [(1, "some words before " + picked[5] + " and after"), (2, picked[77777]), (3, "w0 w1 w2 w3 w4 w5 w6 w7 and no more"), (4, "before " + " ".join(long.split()[10_000:115_000])), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontamination.contaminated(spark, docs, items).collect()}
+    assert got == {(1, 5): (3, 3), (2, 77777): (3, 3), (4, -1): (104_996, 119_996)}
+
+
 @pytest.mark.parametrize("length", [8, 60, 200])
 def test_repeats(spark, docs, corpus, length):
     if length < repeats_minimum():
@@ -192,20 +217,69 @@ def test_repeats_in_blocks(spark, docs, monkeypatch):
     assert sorted(map(str, repeats.remove_repeats(spark, docs, ["doc_id"]).collect())) == whole
 
 
-def test_lines(spark, docs, corpus):
+def test_marks_come_from_the_index(spark, docs, corpus, monkeypatch):
+    """Without the matching statistics of the index nothing is marked: exact copies, settled contexts and others alike."""
+    from quillmeter.llm.run_index import RunIndex
+
+    assert repeats.marks(spark, docs).count() > 100
+    plain = spark.createDataFrame([(i, r[1]) for i, r in enumerate(corpus)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(RunIndex, "elsewhere", lambda self: np.zeros(self.n, np.int64))
+    monkeypatch.setattr(RunIndex, "matched", lambda self, strings, length: [np.zeros(len(s), bool) for s in strings])
+    _, classes = repeats._classes(spark, plain, repeats.LENGTH)
+    rows = [{**r.asDict(), "own": 0, "first": 0, "second": 0, "context": bytes(r["context"])} for r in classes.orderBy("h").collect()]
+    import pyarrow as pa
+
+    assert len(rows) > 20 and any(r["twice"] for r in rows)
+    assert sum(b.num_rows for b in repeats._compare(repeats.LENGTH)([pa.RecordBatch.from_pylist(rows)])) == 0
+    monkeypatch.undo()
+    found = [r for b in repeats._compare(repeats.LENGTH)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    sizes = {(r["h"], r["c"]): len(r["context"]) - repeats.LENGTH + 1 for r in rows if r["twice"]}
+    whole = {(r["h"], r["c"]) for r in found if (r["lo"], r["hi"]) == (0, sizes.get((r["h"], r["c"])))}
+    assert whole == set(sizes)  # classes of several members are found whole
+
+
+def test_an_anchor_of_many_contexts_in_production_blocks(spark):
+    """One passage in over BLOCK_CONTEXTS different surroundings: its anchors' contexts lie in several blocks."""
+    import random
+
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(230))
+    texts = [f"{i:07d}" + "".join(rng.choice("klmnopqrst ") for _ in range(150)) + passage + "".join(rng.choice("uvwxyz ") for _ in range(150)) for i in range(3200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    occurrences, _ = repeats._classes(spark, docs, repeats.LENGTH)
+    assert occurrences.groupBy("h").agg(F.count_distinct("c").alias("n")).agg(F.max("n")).first()[0] > repeats.BLOCK_CONTEXTS
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(spark, docs, ["doc_id"]).collect()}
+    left = collections.Counter(t[156] for t in texts), collections.Counter(t[157 + 230] for t in texts)
+    assert min(min(x.values()) for x in left) > 1  # every neighbouring byte is shared by some two texts
+    counts = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if counts[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        kept = bytes(np.frombuffer(t.encode(), np.uint8)[~gone])
+        assert got[i] == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_lines(spark, docs, corpus, distinct):
+    """By brute force; a host of 25 pages has a line on exactly 8 % of them, another blank lines of tabs, a third a single page."""
     extra = [(1000 + i, f"page {i}\nmenu home\n\nmenu home\n", "en", "s1", 30) for i in range(40)]
+    extra += [(2000 + i, f"text {i}\n" + ("exactly\n" if i < 2 else ""), "en", "ties", 30) for i in range(25)]
+    extra += [(3000 + i, f"tabbed {i}\n\t \r\n\t \r", "en", "tabs", 30) for i in range(5)] + [(4000, "alone\non its host", "en", "single", 30)]
     table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)).withColumn("host", F.lit("clash"))
     pages, of = collections.defaultdict(set), collections.defaultdict(set)
     rows = [*corpus, *extra]
-    for r in rows:
-        pages[r[3]].add(r[1] or "")
-        for x in (r[1] or "").split("\n") if r[1] is not None else []:
-            if x.strip(" "):
-                of[r[3], x].add(r[1])
-    gone = {k for k, v in of.items() if len(v) >= 10 and 100 * len(v) > 10 * len(pages[k[0]])}
-    assert gone == {("s1", "menu home")}
+    for page, r in enumerate(rows):
+        own = (r[1] or "") if distinct else page
+        pages[r[3]].add(own)
+        for x in (r[1] or "").split("\n"):
+            if x.strip(" \t\r\f\v"):
+                of[r[3], x].add(own)
+    gone = {k for k, v in of.items() if len(v) > 1 and 100 * len(v) > lines.RATIO_PERCENT * len(pages[k[0]])}
+    assert ("s1", "menu home") in gone and not any(k[1] == "exactly" for k in gone) and not any("\t" in k[1] for k in gone)
     want = [(r[0], None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[3], x) not in gone)) for r in rows]
-    out = lines.drop_lines(spark, table, "source", "text")
+    out = lines.drop_lines(spark, table, "source", "text", distinct=distinct)
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
@@ -253,6 +327,9 @@ def test_sharding(spark, docs, corpus, tmp_path):
     assert sharding.SlotMap.load(spark, f"file://{tmp_path}/map", 1) == slots
     loads = [(k * 37) % 101 + 1 for k in range(64)]
     first = sharding.SlotMap.build(loads, 5)
+    law = sharding.shard(spark, spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text")), 5)[0]
+    bytes_of = [r[0] for r in law.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(bytes_of) == 5 and max(bytes_of) - min(bytes_of) < 0.01 * sum(bytes_of) / 5
     per = [sum(w for w, s in zip(loads, first.shards, strict=True) if s == k) for k in range(5)]
     assert max(per) - min(per) <= max(loads)
     more = first.rebalance(loads, 6)
@@ -278,14 +355,23 @@ def test_media(spark, docs, corpus, tmp_path):
         assert len(payload) % 64 == 0 and payload
         name, body = next(m for m in media.members(folder, r["shard"]) if m[0] == f"{r['digest']}.png")
         assert (len(body), hashlib.sha256(body).hexdigest()) == (r["media_bytes"], r["media_sha256"]) and media.from_png(body) == payload
+        counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / len(payload)
+        mean = sum(i * p for i, p in enumerate(counts))
+        dev = sum(p * (i - mean) ** 2 for i, p in enumerate(counts)) ** 0.5
+        entropy = -sum(p * np.log2(p) for p in counts if p)
+        size, *values = r["feature"].split(";")
+        assert size == f"{r['width']}x{r['height']}" == f"64x{len(payload) // 64}"
+        assert np.allclose([float(v.split("=")[1]) for v in values], [mean, dev, counts[128:].sum(), entropy], atol=1e-4)
     same = collections.defaultdict(set)
     for r in rows:
-        same[r["digest"]].add(str(r)[str(r).index("digest") :].split(", doc_id")[0])
+        same[r["digest"]].add(tuple(v for k, v in r.asDict().items() if k != "doc_id"))
+    assert all(len(x) == 1 for x in same.values()) and len(same) < len(rows)
     big = bytes(range(256)) * (1 << 13)
     assert media.from_png(media.to_png(big)) == big and media.read_header(media.to_png(big)[:33])["width"] == 64
     index = media.store(spark, docs, f"file://{tmp_path}/again")
     meta = media.metadata(index, f"file://{tmp_path}/again").collect()
-    assert all(m["bit_depth"] == 8 and m["width"] * m["height"] % 64 == 0 for m in meta)
+    heights = {hashlib.sha256(media.payload_of(t)).digest(): len(media.payload_of(t)) // 64 for own in by.values() for t in own}
+    assert all((m["bit_depth"], m["width"], m["height"]) == (8, 64, heights[bytes(m["digest"])]) for m in meta)
 
 
 def test_empty_tables(spark, empty):
