@@ -24,8 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    out = lines.drop_lines(spark, docs, "source", "text")
+    """Documents without the boilerplate lines of their source; n_chars follows the text. Copies count as one page here:
+    else a large group of copies would lose all its lines, and the next stage couldn't find it."""
+    out = lines.drop_lines(spark, docs, "source", "text", distinct=True)
     n_chars = F.when(F.col("_n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
