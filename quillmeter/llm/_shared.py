@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot if it holds over 1 / HOT of a table's rows; so there are fewer than HOT such keys, however large the table.
 HOT = 1000
@@ -76,5 +77,9 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     hot = hot_keys(counts, keys, total)
     if hot is None:
         return left.join(right, keys, how)
-    spread = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
-    return spread.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+    if len(keys) == 1 and not isinstance(hot.schema[0].dataType, T.BinaryType):
+        among = F.col(keys[0]).isin([r[0] for r in hot.collect()])
+        own, others, some = left.filter(among), left.filter(~among), right.filter(among)
+    else:
+        own, others, some = (x.join(F.broadcast(hot), keys, kind) for x, kind in ((left, "left_semi"), (left, "left_anti"), (right, "left_semi")))
+    return own.join(F.broadcast(some), keys, how).unionByName(others.join(right, keys, how))

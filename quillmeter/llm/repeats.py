@@ -42,7 +42,7 @@ from .run_index import RunIndex
 
 LENGTH = 200
 #: Contexts of one anchor in a block; bytes of contexts indexed together.
-BLOCK_CONTEXTS, INDEX_BYTES = 1500, 500_000
+BLOCK_CONTEXTS, INDEX_BYTES = 1500, 200_000
 #: Bytes of contexts that a worker holds at once.
 HELD_BYTES = 8_000_000
 
@@ -190,7 +190,11 @@ def _classes(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFra
     found = materialize(spark, texts.mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
     counts = found.groupBy("h").agg(F.count("*").alias("_n"), F.sum("w").alias("of")).filter("of > 1").select("h", "_n")
     counts = materialize(spark, counts, "repeated-anchors")
-    own = skewed_join(found.select("h", "t", "n", "c", "lo", "hi"), counts.select("h"), ["h"], counts)
+    # hot anchors are repeated: their rows need no partner, and go anywhere
+    hot = hot_keys(counts, ["h"])
+    known = F.col("h").isin([r["h"] for r in hot.collect()]) if hot is not None else F.lit(False)
+    own = found.withColumn("meet", F.when(known, F.xxhash64("t", "lo")).otherwise(F.col("h")))
+    own = own.join(counts.select(F.col("h").alias("meet"), F.lit(True).alias("repeated")), "meet", "left").filter(known | F.col("repeated"))
     # a text's anchors come once from every batch that has it: a set
     sets = own.groupBy("t", "n").agg(F.collect_set(F.struct("h", "c", "lo", "hi")).alias("a"))
     sets = sets.select("t", "n", *[F.col(f"a.{k}").alias(k) for k in ("h", "c", "lo", "hi")])

@@ -46,9 +46,13 @@ def _shared(words: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray,
 
 def _suffix_order(symbol: np.ndarray, end_of: np.ndarray) -> np.ndarray:
     n = len(symbol)
-    key = np.zeros(n, np.int64)
-    for k in range(FIRST):
-        key = (key << 9) | symbol[np.minimum(np.arange(n) + k, end_of)]
+    key, size = symbol, 1
+    for more in (1, 2, 3):  # 2, 4 and FIRST symbols, high bits first
+        after = np.zeros(n, np.int64)
+        after[: n - size] = key[size:] >> (9 * (size - more))
+        key, size = (key << (9 * more)) | after, size + more
+    left = np.minimum(end_of - np.arange(n), FIRST)  # nothing from behind a string's own separator
+    key = key & ~((np.int64(1) << (9 * (FIRST - left))) - 1)
     order = np.argsort(key)
     ordered = key[order]
     new = np.ones(n, bool)
