@@ -89,6 +89,8 @@ grok-4.20-0309-non-reasoning: grok-4.20-0309-non-reasoning
 """
 # Long contexts and what they multiply (input, output; ten thousandths).
 OPENAI_LONG = (["gpt-5.4", "gpt-5.6-sol", "gpt-5.6-terra", "gpt-5.6-luna"], 272_000, 20_000, 15_000)
+# A name priced as other models: until GPT_5_6_CHANGE, and from then on.
+PRICED_AS = ("codex-auto-review", "gpt-5.4", "gpt-5.6-luna")
 XAI_LONG = (["grok-build-0.1", "grok-4.3", "grok-4.5", "grok-4.6", "grok-4.20-multi-agent-0309", "grok-4.20-0309-reasoning", "grok-4.20-0309-non-reasoning"], 200_000, 20_000, 20_000)
 SCALE = 10_000
 
@@ -117,17 +119,42 @@ def contained_names() -> list[tuple[str, list[str]]]:
 
 def normalised_model(name: Column) -> Column:
     """The catalogue's name: provider prefixes go, then the first contained name, else lower case."""
-    lower = F.lower(F.regexp_replace(F.trim(name), "^(anthropic|openai)/", ""))
-    out = None
-    for model, parts in contained_names():
-        test = F.lit(False)
-        for p in parts:
-            test = test | lower.contains(p)
-        out = F.when(test, model) if out is None else out.when(test, model)
-    return out.otherwise(lower)
 
+    def pick(lower: Column) -> Column:
+        out = None
+        for model, parts in contained_names():
+            test = F.lit(False)
+            for p in parts:
+                test = test | lower.contains(p)
+            out = F.when(test, model) if out is None else out.when(test, model)
+        return out.otherwise(lower)
 
-def multipliers(model: Column, prompt: Column, requests: Column) -> tuple[Column, Column]:
+    # bound to a lambda's variable, so that the name is trimmed and lowered once
+    return F.get(F.transform(F.array(F.lower(F.regexp_replace(F.trim(name), "^(anthropic|openai)/", ""))), pick), F.lit(0))
+
+
+def priced_name(names: list[Column]) -> Column:
+    """The first of the names (best known first) that has a rate, as it is or by what follows its last slash; else null."""
+    known = sorted({m for m, *_ in rate_rows()})
+    whole = F.transform(F.array(*names), normalised_model)
+    offered = F.flatten(F.transform(whole, lambda w: F.array(w, F.regexp_extract(w, "/([^/]*)$", 1))))
+    return F.get(F.filter(F.transform(offered, normalised_model), lambda x: x.isin(known)), F.lit(0))
+
+
+def with_model(rows: DataFrame, raw: str) -> DataFrame:
+    """rows with model, the normalised name of column raw. Names are normalised once each: few rows, whose measured size decides
+    how they are joined."""
+    names = rows.select(F.col(raw).alias("_raw")).filter("_raw is not null").distinct().withColumn("model", normalised_model(F.col("_raw")))
+    return rows.join(names, rows[raw] == names["_raw"], "left").drop("_raw")
+
+
+def _mapped(model: Column, day: Column) -> Column:
+    name, before, since = PRICED_AS
+    return F.when(model == name, F.when(day < F.lit(GPT_5_6_CHANGE).cast("date"), before).otherwise(since)).otherwise(model)
+
+
+def multipliers(model: Column, prompt: Column, requests: Column, day: Column) -> tuple[Column, Column]:
+    model = _mapped(model, day)
     one = requests == 1
     long_openai = model.isin(OPENAI_LONG[0]) & one & (prompt > OPENAI_LONG[1])
     long_xai = model.isin(XAI_LONG[0]) & one & (prompt >= XAI_LONG[1])
@@ -136,13 +163,16 @@ def multipliers(model: Column, prompt: Column, requests: Column) -> tuple[Column
 
 
 def cost_micro(rows: DataFrame, rate_table: DataFrame) -> DataFrame:
-    """rows (model, fast, day, requests, input_tokens, cache_write, cache_write_1h, cache_read, output_tokens) with
-    cost_micro, null for unknown models. The rate table has under 100 rows and is broadcast."""
+    """rows (model, fast, day, requests, input_tokens, cache_write, cache_write_1h, cache_read, output_tokens and, if there is
+    such a column, reasoning_tokens, which cost what output does) with cost_micro, null for unknown models. Null counts are 0.
+    The rate table has under 100 rows and is broadcast."""
     r = F.broadcast(rate_table.withColumnRenamed("model", "_model").withColumnRenamed("fast", "_fast"))
     standard = ~F.col("fast") | ~F.col("model").isin([x[0] for x in _rows(FAST_RATES, True)])
     joined = rows.join(r, (F.col("model") == F.col("_model")) & (F.col("_fast") == ~standard) & (F.col("day") >= F.col("begin")) & (F.col("day") < F.col("end")), "left")
     n = {c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)") for c in ("input_tokens", "cache_write", "cache_write_1h", "cache_read", "output_tokens")}
-    m_in, m_out = multipliers(F.col("model"), F.col("input_tokens") + F.col("cache_write") + F.col("cache_read"), F.col("requests"))
+    m_in, m_out = multipliers(F.col("model"), n["input_tokens"] + n["cache_write"] + n["cache_read"], F.col("requests"), F.col("day"))
+    if "reasoning_tokens" in rows.columns:
+        n["output_tokens"] = n["output_tokens"] + F.coalesce(F.col("reasoning_tokens"), F.lit(0)).cast("decimal(38,0)")
     hour = F.when(F.col("model").startswith("claude-"), F.least(n["cache_write_1h"], n["cache_write"])).otherwise(F.lit(0).cast("decimal(38,0)"))
     # token counts have 19 digits at most and rates 9: sums of products stay below 38
     d = lambda x: x.cast("decimal(19,0)")

@@ -26,10 +26,12 @@ def deepest_root(paths: DataFrame, key: str, path: str, roots: DataFrame, root:
 
 
 def resolve_identity(wanted: DataFrame, accounts: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """key, account: the one account that any of the columns by leads to; null and ambiguous True if they lead to several."""
+    """key, account of every row of wanted: the one account that any of the columns by leads to; null if they lead to
+    none, null and ambiguous True if they lead to several."""
     found = None
     for c in by:
         one = wanted.filter(F.col(c).isNotNull()).select(key, c).join(accounts.select(c, "account").filter(F.col(c).isNotNull()), c).select(key, "account")
         found = one if found is None else found.unionByName(one)
     n = F.count_distinct("account")
-    return found.groupBy(key).agg(F.when(n == 1, F.min("account")).alias("account"), (n > 1).alias("ambiguous"))
+    every = found.unionByName(wanted.select(key).withColumn("account", F.lit(None).cast(found.schema["account"].dataType)))
+    return every.groupBy(key).agg(F.when(n == 1, F.min("account")).alias("account"), (n > 1).alias("ambiguous"))

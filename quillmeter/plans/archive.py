@@ -190,14 +190,18 @@ def coverage_reduce(spark: SparkSession, d: str) -> DataFrame:
 @add(f"WITH {U_SQL} SELECT provider, account, day, count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM u GROUP BY ALL")
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """The daily rollup, built from the events as a stream of files."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'quillmeter-checkpoints')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{os.path.join(tempfile.gettempdir(), 'quillmeter-checkpoints')}"
 
     def rollup(rows: DataFrame) -> DataFrame:
         u = rows.select(F.col("event_type").alias("provider"), F.col("user_id").alias("account"), "day", F.floor(F.col("value") * 100).cast("long").alias("t"))
         return u.groupBy("provider", "account", "day").agg(F.count("*").alias("requests"), F.sum("t").alias("total_tokens"))
 
     events = read(spark, d, "events")
-    out = incremental_rollup(spark, f"{d}/events.parquet*", events.schema, f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", rollup, ["provider", "account", "day"])
+    out = incremental_rollup(spark, f"{d}/events.parquet*", events.schema, f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", rollup)
     return out.select("provider", "account", F.to_date("day").alias("day"), "requests", "total_tokens")
 
 

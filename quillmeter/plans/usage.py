@@ -263,7 +263,7 @@ def saturating_sum(spark: SparkSession, d: str) -> DataFrame:
     return usage(spark, d).filter("total_tokens > 0").groupBy("provider").agg(numbers.saturating_sum(big).alias("saturated"))
 
 
-@query(f"WITH {U_SQL} SELECT event_id, CAST(sum(total_tokens) OVER (PARTITION BY account ORDER BY started_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM u")
+@query(f"WITH {U_SQL} SELECT event_id, CAST(sum(total_tokens) OVER (PARTITION BY account ORDER BY started_at NULLS FIRST, event_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM u")
 def prefix_sums(spark: SparkSession, d: str) -> DataFrame:
     u = usage(spark, d).select("event_id", "account", "started_at", "total_tokens", "day")
     return intervals.running_sums(u, "account", ["started_at", "event_id"], F.col("day"), {"upto": "total_tokens"}).select("event_id", "upto")

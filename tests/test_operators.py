@@ -43,6 +43,66 @@ def test_running_sums_equal_one_window(spark):
         assert r["upto"] == total
 
 
+def test_rows_without_key_or_time_stay(spark):
+    """Null keys and times against DuckDB."""
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE e (k VARCHAR, id INT, ts TIMESTAMP, v BIGINT)")
+    ev = [("a", 1, at(0), 1), (None, 2, at(0), 2), ("a", 3, None, 4), (None, 4, None, 8), ("b", 5, at(1), None), ("a", 6, at(2), 16), (None, 7, at(3), 32)]
+    duck.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", ev)
+    duck.execute("CREATE TABLE r (k VARCHAR, id INT, s TIMESTAMP, t TIMESTAMP)")
+    iv = [("a", 1, at(0), None), (None, 2, at(0), at(9)), ("a", 3, None, at(9)), ("b", 4, at(0), at(2)), ("c", 5, at(0), at(2))]
+    duck.executemany("INSERT INTO r VALUES (?, ?, ?, ?)", iv)
+    left = events(spark, ev, "k string, id int, ts timestamp_ntz, v long")
+    right = events(spark, iv, "k string, id int, start timestamp_ntz, end timestamp_ntz")
+    got = intervals.running_sums(left, "k", ["ts", "id"], F.to_date("ts"), {"upto": "v"}).select("id", "upto").collect()
+    want = "SELECT id, coalesce(sum(v) OVER (PARTITION BY k ORDER BY ts NULLS FIRST, id ROWS UNBOUNDED PRECEDING), 0) FROM e"
+    assert sorted(map(tuple, got)) == sorted((i, int(v)) for i, v in duck.execute(want).fetchall())
+    got = intervals.as_of(left.select("k", "id", "ts"), right.select("k", "start", F.col("id").alias("at")), "k", "ts", "start", ["at"]).select("id", "at").collect()
+    want = "SELECT id, (SELECT max_by(r.id, r.s) FROM r WHERE r.k = e.k AND r.s <= e.ts) FROM e"
+    assert sorted(map(tuple, got)) == sorted(duck.execute(want).fetchall())
+    got = intervals.range_totals(right, left, "k", ["v"]).select("id", "n", "v").collect()
+    want = "SELECT r.id, count(e.id), coalesce(sum(e.v), 0) FROM r LEFT JOIN e ON r.k = e.k AND e.ts >= r.s AND (r.t IS NULL OR e.ts < r.t) GROUP BY r.id"
+    assert sorted(map(tuple, got)) == sorted((i, n, int(v)) for i, n, v in duck.execute(want).fetchall())
+
+
+def test_stream_resumes_and_keeps_rows_without_a_time(spark, tmp_path):
+    from quillmeter.streaming.rollups import incremental_rollup
+
+    schema = "id int, ts timestamp_ntz"
+    rows = [(i, at(i % 3) if i % 5 else None) for i in range(20)]
+    folder, work = f"file://{tmp_path}/events", f"file://{tmp_path}/work"
+    read = []
+
+    def rollup(x):
+        read.append(1)
+        return x.groupBy("day").agg(F.count("*").alias("n"))
+
+    def run():
+        found = incremental_rollup(spark, folder, events(spark, [], schema).schema, work, rollup).collect()
+        return {str(r["day"]): r["n"] for r in found}
+
+    def want(some):
+        return {k: sum(str(t.date() if t else None) == k for _, t in some) for k in {str(t.date() if t else None) for _, t in some}}
+
+    events(spark, rows[:12], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert run() == want(rows[:12])
+    events(spark, rows[12:], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert run() == want(rows) and sum(want(rows).values()) == 20
+    calls = len(read)
+    assert run() == want(rows) and len(read) == calls + 1  # nothing new: only the schema is asked for
+
+
+def test_identities_that_lead_nowhere(spark):
+    from quillmeter.operators import lookups
+
+    accounts = events(spark, [("A", "a@x", "1"), ("B", "b@x", "2")], "account string, email string, uid string")
+    wanted = events(spark, [(1, "a@x", None), (2, None, None), (3, "z@x", "9"), (4, "a@x", "2")], "k int, email string, uid string")
+    got = sorted(tuple(r) for r in lookups.resolve_identity(wanted, accounts, "k", ["email", "uid"]).collect())
+    assert got == [(1, "A", False), (2, None, False), (3, None, False), (4, None, True)]
+
+
 def test_merge_overlapping(spark):
     rows = [("a", 1, 3), ("a", 3, 5), ("a", 7, 9), ("a", 2, 4), ("b", 0, 1)]
     got = sorted(map(tuple, intervals.merge_overlapping(events(spark, rows, "k string, a int, b int"), "k", "a", "b").select("k", "a", "b", "n_ranges").collect()))
