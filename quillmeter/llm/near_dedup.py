@@ -41,7 +41,8 @@ COLLECTION, GROUP = 10, 2
 BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 400_000
 #: Classes to compare up to which their ids are broadcast to the scan of texts (8 bytes each); beyond, a shuffled semi-join.
 BROADCAST_CLASSES = 2_000_000
-COLUMNS = 2048
+#: Shingles, and sets, that are compared at once.
+COLUMNS, ROWS = 2048, 250
 #: keep_one numbers rows without doc_id from here to its double, so that a row with a lesser doc_id stays rather than they.
 UNNAMED = 1 << 62
 
@@ -109,22 +110,27 @@ def _compare(similar: int):
 
     def links(ids: np.ndarray, sets: list[np.ndarray], new: np.ndarray) -> tuple[list[int], list[int]]:
         n = len(sets)
-        sizes = np.array([len(s) for s in sets], np.float64)
-        owner = np.repeat(np.arange(n), sizes.astype(int))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(n), sizes)
         values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.cumsum(often > 1) - 1
         shared = often[column] > 1  # a shingle of one set alone is in no intersection
         owner, column = owner[shared], rank[column[shared]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        common = np.zeros((n, n))  # float64: counts, and 100 times as much, are whole numbers in it
+        common = np.zeros((n, n), np.int32)
         for at in range(0, int((often > 1).sum()), COLUMNS):
             lo, hi = np.searchsorted(column, [at, at + COLUMNS])
             block = np.zeros((n, COLUMNS), np.float32)
             block[owner[lo:hi], column[lo:hi] - at] = 1
-            common += block @ block.T
-        union = sizes[:, None] + sizes[None, :] - common
-        found = np.triu((100 * common >= similar * union) & (new[:, None] | new[None, :]), 1)
+            np.add(common, block @ block.T, out=common, casting="unsafe")  # a product is at most COLUMNS, a whole number
+        found = np.zeros((n, n), bool)
+        for at in range(0, n, ROWS):  # in whole numbers, some rows at a time
+            rows = slice(at, at + ROWS)
+            shared_ = common[rows].astype(np.int64)
+            found[rows] = (100 + similar) * shared_ >= similar * (sizes[rows, None] + sizes[None, :])
+            found[rows] &= new[rows, None] | new[None, :]
+        found = np.triu(found, 1)
         parent = list(range(n))
 
         def root(x: int) -> int:
@@ -148,7 +154,7 @@ def _compare(similar: int):
             us, vs = links(np.array(ids), sets, np.array(new)) if len(sets) > 1 else ([], [])
             return pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             for r in batch.to_pylist():
                 if (k := (r["leader"], r["first"], r["second"])) != key:
                     if sets:
