@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 #: A key is hot if it holds over 1 / HOT of a table's rows; so there are fewer than HOT such keys, however large the table.
 HOT = 1000
 
+#: Rows of an Arrow batch: some MB of texts on either side of a worker's pipe.
+BATCH_ROWS = 1000
+
 _made: list[str] = []
 
 
@@ -50,6 +53,13 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that Python workers get at once, with whole texts: BATCH_ROWS instead of Spark's default, if that is unchanged."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import passed
+from ._shared import passed, small_batches
 
 SAMPLE_TEXTS = 64
 DICTIONARY_BYTES = 112_000
@@ -49,6 +49,7 @@ _LETTER = regex.compile(r"\p{L}")
 def learn(docs: DataFrame, usable: Column) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows where usable holds. The texts with the least hash in
     each of SAMPLE_TEXTS bins are taken, so at most that many rows a language reach the driver."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     hashed = rows.select("lang", "doc_id", F.xxhash64("text").alias("h")).withColumn("bin", F.pmod("h", F.lit(SAMPLE_TEXTS)))
     picks = hashed.groupBy("lang", "bin").agg(F.min(F.struct("h", "doc_id")).alias("pick")).select("lang", "pick.doc_id", "pick.h").collect()

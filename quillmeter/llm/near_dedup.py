@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, skewed_join
+from ._shared import materialize, skewed_join, small_batches
 from .components import connected_components
 from .shingles import mix, shingle_sets, slices
 
@@ -193,6 +193,7 @@ def verified_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, simi
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs; similar: least similarity of a link in percent."""
+    small_batches(spark)
     known = materialize(spark, features(docs), "features")
     signature = [F.max(k).alias(k) for k in _KEYS]
     classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("class"), F.count("*").alias("_n"), *signature)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import passed
+from ._shared import passed, small_batches
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -208,6 +208,7 @@ def _slices(column) -> list[list[str | None]]:
 def encode(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     """The columns keep of docs, with ids, n_tokens and round_trip (decoding gives the text back).
     The model (under 1 MB) goes along with the tasks."""
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         data = f.read()
 
