@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, money, more, tasks, usage
+from . import archive, money, more, records, tasks, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (usage, money, tasks, archive, more):
+for _part in (usage, money, tasks, archive, more, records):
     QUERIES |= _part.Q
     ORACLE_SQL |= _part.SQL
