@@ -14,7 +14,7 @@ from quillmeter.functions import identity
 from quillmeter.functions.records import committer_hash
 
 # The schema of a report, its kinds, and the window of commits.
-REPORT_SCHEMA = "reported_usage_summary.v1"
+REPORT_SCHEMA = "reported_usage_summary_input.v1"
 REPORT_KINDS = ["external_report", "manual"]
 LOOKBACK_DAYS, SKEW_DAYS = 90, 1
 _COUNTS = ["input_tokens", "cache_creation_tokens", "cache_read_tokens", "output_tokens"]
