@@ -34,9 +34,8 @@ from ._shared import passed, small_batches
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Bytes of text whose words are sorted together; words and pairs kept by a worker between slices.
-SLICE_BYTES = 4_000_000
-KEPT_WORDS = 150_000
+#: Characters of text whose words are sorted together; pairs kept by a worker between slices.
+SLICE_CHARS = 4_000_000
 KEPT_PAIRS = 400_000
 #: State before the first piece of a word; pieces are below 2 ** PIECE_BITS.
 START, PIECE_BITS = 1 << 24, 22
@@ -156,16 +155,16 @@ class Model:
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; the distinct new words of all of them go through one trie."""
+        """Ids of each text; the distinct new words of all of them go through one trie. Words of these texts are kept for
+        the next ones, so a word that every slice has is encoded once, and a worker holds the words of two slices at most."""
         cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(itertools.chain.from_iterable(cut)).difference(self.words)
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-            new = set(itertools.chain.from_iterable(cut))
-        order = sorted(new)
-        self.words.update(zip(order, self.encode_words(order), strict=True))
-        get = self.words.__getitem__
-        return [list(itertools.chain.from_iterable(map(get, words))) for words in cut]
+        own = set(itertools.chain.from_iterable(cut))
+        words = {w: self.words[w] for w in own & self.words.keys()}
+        order = sorted(own.difference(words))
+        words.update(zip(order, self.encode_words(order), strict=True))
+        self.words = words
+        get = words.__getitem__
+        return [list(itertools.chain.from_iterable(map(get, found))) for found in cut]
 
     def decode(self, ids: list[int]) -> str:
         if not ids:
@@ -197,7 +196,7 @@ def _slices(column) -> list[list[str | None]]:
     out, size = [[]], 0
     for x in column:
         t = x.as_py()
-        if size > SLICE_BYTES:
+        if size > SLICE_CHARS:
             out.append([])
             size = 0
         out[-1].append(t)
