@@ -40,8 +40,8 @@ def matches(rows: DataFrame, key: str, column: str, every: list[str] = (), some:
 
 
 def bm25(rows: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
-    """key, score of rows with any of the terms. Only counts of terms are aggregated: the corpus is read once for
-    lengths and hits, and a single row of statistics goes back to the matching rows."""
+    """key, score of rows with any of the terms. Only counts of terms are aggregated, and a single row of
+    statistics goes back to the matching rows. The corpus is read and cut into tokens twice, for the statistics and for the hits."""
     t = rows.select(key, tokens(F.coalesce(F.col(column), F.lit(""))).alias("t"))
     counted = t.select(key, F.size("t").alias("length"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
