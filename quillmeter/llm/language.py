@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import passed, small_batches
+from ._shared import lean, passed, small_batches
 
 SAMPLE_TEXTS = 64
 DICTIONARY_BYTES = 112_000
@@ -123,6 +123,7 @@ def _verdict(dictionaries: dict[str, bytes], margin: float):
     """An Arrow function of the text alone: no other column goes to the workers and back."""
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
+    @lean
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Classifier(dictionaries)
         for column in texts:

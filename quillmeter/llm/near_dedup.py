@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, skewed_join, small_batches
+from ._shared import lean, materialize, skewed_join, small_batches
 from .components import connected_components
 from .shingles import mix, shingle_sets, slices
 
@@ -84,7 +84,7 @@ def _features(batches):
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the shingle set (s0, s1) and the hash groups a0.., b0.. of every document."""
     schema = "doc_id long, n_shingles long, s0 long, s1 long, " + ", ".join(f"{k} long" for k in _KEYS)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_features), schema)
 
 
 def candidate_groups(spark: SparkSession, classes: DataFrame) -> DataFrame:
@@ -182,13 +182,13 @@ def verified_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, simi
     if wanted.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("class"), "text").join(wanted, "class", "left_semi")
-    sets = texts.mapInArrow(_sets, "class long, set binary")
+    sets = texts.mapInArrow(lean(_sets), "class long, set binary")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
     placed = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     placed = placed.select("leader", "class", "new", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("leader", "class", "new", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     dealt = placed.join(sets, "class").repartition("leader", "first", "second").sortWithinPartitions("leader", "first", "second")
-    return dealt.select("leader", "first", "second", "class", "new", "set").mapInArrow(_compare(similar), "u long, v long")
+    return dealt.select("leader", "first", "second", "class", "new", "set").mapInArrow(lean(_compare(similar)), "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = 80) -> DataFrame:

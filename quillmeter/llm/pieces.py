@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import passed, small_batches
+from ._shared import lean, passed, small_batches
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
 
     source = docs.select(*passed(keep, ("ids", "n_tokens", "round_trip")), F.col("text").alias("_encoded"))
     schema = source.drop("_encoded").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "integer").add("round_trip", "boolean")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
@@ -242,4 +242,4 @@ def decode(rows: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "text"])
 
     source = rows.select(*passed(keep, ("text",)), F.col("ids").alias("_ids"))
-    return source.mapInArrow(run, source.drop("_ids").schema.add("text", "string"))
+    return source.mapInArrow(lean(run), source.drop("_ids").schema.add("text", "string"))

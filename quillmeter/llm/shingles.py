@@ -11,7 +11,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
