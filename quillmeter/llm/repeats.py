@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import hot_keys, materialize, skewed_join
+from ._shared import hot_keys, lean, materialize, skewed_join, small_batches
 from .anchors import anchors, range_hashes
 from .run_index import RunIndex
 
@@ -63,7 +63,7 @@ def _packed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((pack(x.as_py()) for x in batch.column(batch.num_columns - 1)), pa.binary())], names=batch.schema.names)
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(lean(run), texts.schema)
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -187,7 +187,7 @@ def _classes(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFra
     """Occurrences (h, c, t, n, lo, size, w) of repeated anchors in distinct texts, and their classes (h, c, _n, twice, context):
     _n occurrences, in several rows of docs or places if twice."""
     texts = _keyed(docs).filter(F.col("n") >= length).select("t", "n", "raw")
-    found = materialize(spark, texts.mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
+    found = materialize(spark, texts.mapInArrow(lean(_anchor_rows(length)), _ANCHOR), "anchors")
     counts = found.groupBy("h").agg(F.count("*").alias("_n"), F.sum("w").alias("of")).filter("of > 1").select("h", "_n")
     counts = materialize(spark, counts, "repeated-anchors")
     # hot anchors are repeated: their rows need no partner, and go anywhere
@@ -201,7 +201,7 @@ def _classes(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFra
     whole = _packed(texts).groupBy("t", "n").agg(F.count("*").alias("w"), F.max("raw").alias("raw"))
     cut = whole.join(sets, ["t", "n"]).select("t", "n", "w", "raw", "h", "c", "lo", "hi")
     schema = "h long, c long, t long, n int, lo int, size int, w long, context binary"
-    occurrences = materialize(spark, cut.mapInArrow(_context_rows(length), schema), "contexts")
+    occurrences = materialize(spark, cut.mapInArrow(lean(_context_rows(length)), schema), "contexts")
     grouped = occurrences.groupBy("h", "c").agg(F.count("*").alias("_n"), F.sum("w").alias("of"), F.min("context").alias("context"), F.max("context").alias("largest"))
     checked = F.when(F.col("context") == F.col("largest"), F.col("context")).otherwise(F.raise_error(F.lit("two contexts of one name")))
     return occurrences.drop("context"), grouped.select("h", "c", "_n", (F.col("of") > 1).alias("twice"), checked.alias("context"))
@@ -219,7 +219,7 @@ def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
     placed = placed.select("h", "c", "context", "twice", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = placed.select("h", "c", "context", "twice", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     dealt = cells.repartition("h", "first", "second").sortWithinPartitions("h", "first", "second")
-    matched = dealt.select("h", "first", "second", "own", "c", "context", "twice").mapInArrow(_compare(length), "h long, c long, lo int, hi int")
+    matched = dealt.select("h", "first", "second", "own", "c", "context", "twice").mapInArrow(lean(_compare(length)), "h long, c long, lo int, hi int")
     ranges = materialize(spark, matched.groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
     places = occurrences.select("h", "c", "t", "n", F.col("lo").alias("base"))
     total = by_anchor.agg(F.sum("_n")).first()[0] or 0
@@ -245,7 +245,7 @@ def spans(marked: DataFrame, length: int = LENGTH) -> DataFrame:
                 ends.append(reach[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["t", "n", "begins", "ends"])
 
-    return ordered.mapInArrow(merge, "t long, n int, begins array<int>, ends array<int>")
+    return ordered.mapInArrow(lean(merge), "t long, n int, begins array<int>, ends array<int>")
 
 
 def _cut(batches):
@@ -262,11 +262,12 @@ def _cut(batches):
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, keep: list[str], length: int = LENGTH) -> DataFrame:
     """The columns keep of docs, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
+    small_batches(spark)
     found = materialize(spark, spans(marks(spark, docs, length), length), "spans")
     joined = _keyed(docs, *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)])
     joined = _packed(joined).join(found, ["t", "n"], "left")
     source = joined.select(*[f"_keep_{i}" for i in range(len(keep))], "raw", "begins", "ends")
     schema = source.drop("raw", "begins", "ends").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("kept_sha256", "string")
-    cut = source.mapInArrow(_cut, schema)
+    cut = source.mapInArrow(lean(_cut), schema)
     outputs = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     return cut.select(*[F.col(f"_keep_{i}").alias(f"{c}_in" if c in outputs else c) for i, c in enumerate(keep)], *outputs)

@@ -1,4 +1,4 @@
-"""Workers give back what their tasks leave free."""
+"""Workers give back what their tasks leave free, and get few rows at once."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import os
 
 import corpus_pipeline
 import pytest
-from quillmeter.llm._shared import lean
+from quillmeter.llm import repeats
+from quillmeter.llm._shared import BATCH_ROWS, lean
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,15 @@ def test_pipeline_tasks(spark, docs, tasks):
     for name in ("near_duplicates", "tokenize"):
         dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
     assert len(tasks) == 4 and all(hasattr(f, "__wrapped__") for f in tasks)
+
+
+def test_repeats_tasks(spark, docs, tasks):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        repeats.remove_repeats(spark, docs, ["doc_id"])
+        assert spark.conf.get(name) == str(BATCH_ROWS)
+    finally:
+        spark.conf.set(name, before)
+    assert len(tasks) == 7 and all(hasattr(f, "__wrapped__") for f in tasks)
